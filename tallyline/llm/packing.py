@@ -38,7 +38,7 @@ from .tokenizing import PieceEncoder, balanced, ids_bytes
 #: Column generation ends at this share between the program's value and its lower bound.
 GAP = 0.0005
 #: Columns that are generated at most; the plan is whole and right after any number of them.
-ROUNDS = 1000
+ROUNDS = 300
 #: Rows of a length that one ranking task should get.
 RANKED_ROWS = 200_000
 
@@ -229,14 +229,14 @@ def padding(plan: list[tuple[dict[int, int], int]], capacity: int) -> int:
 
 
 def plan_tails(tails: dict[int, int], total: int, capacity: int, target: float) -> tuple[int, list[tuple[dict[int, int], int]]]:
-    """The first level of cuts, and its plan, whose padding is at most target of all tokens."""
+    """The first level of cuts, and its plan, whose padding is at most target of all tokens and one sequence more."""
     for level in range(capacity.bit_length()):
         need: dict[int, int] = {}
         for tail, n in tails.items():
             for x in tail_cuts(tail, level, capacity):
                 need[x] = need.get(x, 0) + n
         plan = planned(need, capacity)
-        if padding(plan, capacity) <= target * total:
+        if padding(plan, capacity) <= target * total + capacity:
             break
     return level, plan
 
