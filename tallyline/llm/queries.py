@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, token_counts, toxicity
+from . import html_extract, packing, quality, simhash, token_counts, toxicity
 
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
@@ -44,13 +44,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_toxicity, op5_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_toxicity, op5_quality, op6_html, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
