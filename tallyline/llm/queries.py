@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, packing, quality, simhash, token_counts, toxicity
+from . import decontam, html_extract, packing, quality, simhash, token_counts, toxicity, warc
 
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
@@ -49,13 +49,22 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_back(warc.archived(table(spark, sf_dir, "pages"), least=0))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), "verified")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_toxicity, op5_quality, op6_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_toxicity, op5_quality, op6_html, op8_warc, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
