@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, packing, quality, simhash, token_counts, toxicity, warc
+from . import decontam, html_extract, lm_scoring, packing, quality, simhash, token_counts, toxicity, warc
 
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
@@ -32,6 +32,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary(), capacity=SEQUENCE)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
@@ -64,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op4_toxicity, op5_quality, op6_html, op8_warc, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op8_warc, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
