@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lm_scoring, packing, quality, simhash, token_counts, toxicity, warc
+from . import decontam, html_extract, line_dedup, lm_scoring, packing, quality, simhash, token_counts, toxicity, warc
 
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
@@ -53,6 +53,11 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs, count_col="n_removed")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_back(warc.archived(table(spark, sf_dir, "pages"), least=0))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), "verified")
@@ -68,7 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op8_warc, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op7_line_dedup, op8_warc, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
