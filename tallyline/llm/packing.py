@@ -70,7 +70,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col
         return n, full, bits, rests
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, ids_bytes)
+        encoder = PieceEncoder(vocabulary, ids_bytes, b"".join)
         for outer in batches:
             for batch in balanced(outer, 1):
                 texts = pc.fill_null(batch.column(1), "").to_pylist()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,10 +23,16 @@ import pyarrow.compute as pc
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 2 << 20
 #: Pieces a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: A space before another white space or at the end: the pieces between plain spaces aren't safe there.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 SAFE_CUT = re.compile(r" (?=\S)")
+# The pre-tokenizer's pattern, with its letter and number classes spelled out below U+0250.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+|\s+(?!\S)|\s+")
+#: How the vocabulary writes a space.
+SPACE = "\u0120"
+#: What PARTS doesn't split as the pre-tokenizer does, or what may hold a special token.
+OTHER = re.compile(r"[^\x00-\x1b\x20-\u024f]|<\|")
 
 
 @lru_cache(maxsize=4)
@@ -52,23 +59,45 @@ def cut(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Looks pieces up in what was encoded before; `kept` makes the stored value of a piece's ids."""
+    """Looks pieces up in what was encoded before.
 
-    def __init__(self, path: str, kept: Callable[[list[int]], object]):
-        self.encoder, self.kept = tokenizer(path), kept
+    A new piece is put together from its pre-tokens, which are rarer than pieces (`word`, `word,` and `word.` share
+    one) and are encoded once each. `kept` makes the stored value of some ids, `joined` that of several values.
+    """
+
+    def __init__(self, path: str, kept: Callable[[list[int]], object], joined: Callable[[Iterator], object]):
+        self.encoder, self.kept, self.joined = tokenizer(path), kept, joined
         self.inner: dict[str, object] = {}
         self.heads: dict[str, object] = {}
+        self.parts: dict[str, object] = {}
+        vocabulary = self.encoder.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts[[i for x, i in vocabulary.items() if x.startswith(SPACE)]] = True
+
+    def _ids(self, parts: list[str], led: bool) -> Iterator[list[int]]:
+        """Ids of parts. Those with one space, before a non-space, are encoded as one text and told apart by the tokens that start with a space."""
+        if led:
+            ids = self.encoder.encode("".join(parts), add_special_tokens=False).ids
+            cuts = np.flatnonzero(self.starts[ids]).tolist()
+            if len(cuts) == len(parts):
+                yield from (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True))
+                return
+        yield from (x.ids for x in self.encoder.encode_batch_fast(parts, add_special_tokens=False))
 
     def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
-        new = list(pieces.difference(known))
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            found = self.encoder.encode_batch_fast([lead + x for x in part], add_special_tokens=False)
-            known.update(zip(part, [self.kept(x.ids) for x in found], strict=True))
+        cuts = [(x, [lead + x] if OTHER.search(x) else PARTS.findall(lead + x)) for x in pieces.difference(known)]
+        new = set(chain.from_iterable(x for _, x in cuts)).difference(self.parts)
+        led = [x for x in new if x[:1] == " " and not x[1:2].isspace() and x.count(" ") == 1 and len(x) > 1]
+        for some in (led, list(new.difference(led))):
+            for at in range(0, len(some), 2048):
+                part = some[at : at + 2048]
+                self.parts.update(zip(part, map(self.kept, self._ids(part, some is led)), strict=True))
+        look, joined = self.parts.__getitem__, self.joined
+        known.update([(x, look(y[0]) if len(y) == 1 else joined(map(look, y))) for x, y in cuts])
 
     def values(self, texts: list[str]) -> Iterator[Iterator[object]]:
         """For each text the stored values of its pieces, in order."""
-        for known in (self.inner, self.heads):
+        for known in (self.inner, self.heads, self.parts):
             if len(known) > REMEMBERED:
                 known.clear()
         cuts = [cut(x) for x in texts]
@@ -81,4 +110,4 @@ class PieceEncoder:
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)

@@ -241,6 +241,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def probability(model: Model, evidence: np.ndarray) -> np.ndarray:
+    """Of each document to be toxic, from its evidence."""
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(evidence) + model.offset, -50, 50)))
+
+
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, evidence, passages: array of start and stop token and evidence) for each row."""
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("tx_text"))
@@ -254,8 +259,24 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for batch in balanced(whole, 1):
                 found = [scorer.passages(x)[1] for x in pc.fill_null(batch.column(1), "").to_pylist()]
                 evidence = np.array([math.fsum(e for *_, e in x) for x in found])
-                value = 1 / (1 + np.exp(-np.clip(m.slope * np.log1p(evidence) + m.offset, -50, 50)))
+                value = probability(m, evidence)
                 spans = pa.array([[{"start": a, "stop": b, "evidence": e} for a, b, e in x] for x in found], kind)
                 yield pa.record_batch([batch.column(0), pa.array(value), pa.array(evidence), spans], names=[id_col, "score", "evidence", "passages"])
 
     return rows.mapInArrow(score, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double, evidence double, passages array<struct<start:long,stop:long,evidence:double>>")
+
+
+def kept(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below limit; in one pass, whatever their ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        scorer = Scorer(m)
+        for whole in batches:
+            for batch in balanced(whole, place):
+                evidence = np.array([math.fsum(e for *_, e in scorer.passages(x)[1]) for x in pc.fill_null(batch.column(place), "").to_pylist()])
+                yield batch.filter(pa.array(probability(m, evidence) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
