@@ -9,12 +9,13 @@ the encoder gets at once, however long a text is.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 2 << 20
 #: Pieces a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: A space before another white space or at the end: the pieces between plain spaces aren't safe there.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 SAFE_CUT = re.compile(r" (?=\S)")
@@ -66,6 +67,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, kept: Callable[[list[int]], object], joined: Callable[[Iterator], object]):
+        gc.set_threshold(1_000_000)  # many small lists are made here, none in a cycle
         self.encoder, self.kept, self.joined = tokenizer(path), kept, joined
         self.inner: dict[str, object] = {}
         self.heads: dict[str, object] = {}
@@ -77,7 +79,7 @@ class PieceEncoder:
     def _ids(self, parts: list[str], led: bool) -> Iterator[list[int]]:
         """Ids of parts. Those with one space, before a non-space, are encoded as one text and told apart by the tokens that start with a space."""
         if led:
-            ids = self.encoder.encode("".join(parts), add_special_tokens=False).ids
+            ids = self.encoder.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids
             cuts = np.flatnonzero(self.starts[ids]).tolist()
             if len(cuts) == len(parts):
                 yield from (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True))
@@ -95,7 +97,7 @@ class PieceEncoder:
         look, joined = self.parts.__getitem__, self.joined
         known.update([(x, look(y[0]) if len(y) == 1 else joined(map(look, y))) for x, y in cuts])
 
-    def values(self, texts: list[str]) -> Iterator[Iterator[object]]:
+    def values(self, texts: list[str]) -> Iterator[list[object]]:
         """For each text the stored values of its pieces, in order."""
         for known in (self.inner, self.heads, self.parts):
             if len(known) > REMEMBERED:
@@ -103,10 +105,19 @@ class PieceEncoder:
         cuts = [cut(x) for x in texts]
         heads = [x.pop(0) for x in cuts]
         self._learn(self.heads, set(heads), "")
-        self._learn(self.inner, set().union(*cuts), " ")
-        look = self.inner.__getitem__
+        found = list(map(self.inner.get, chain.from_iterable(cuts)))
+        if None in found:
+            missing = [x is None for x in found]
+            new, pieces = list(compress(range(len(found)), missing)), list(compress(chain.from_iterable(cuts), missing))
+            self._learn(self.inner, set(pieces), " ")
+            for i, x in zip(new, map(self.inner.__getitem__, pieces), strict=True):
+                found[i] = x
+        at = 0
         for head, rest in zip(heads, cuts, strict=True):
-            yield chain((self.heads[head],), map(look, rest))
+            some = found[at : at + len(rest)]
+            at += len(rest)
+            some.insert(0, self.heads[head])
+            yield some
 
 
 def ids_bytes(ids: list[int]) -> bytes:
