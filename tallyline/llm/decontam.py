@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tokenizing import balanced
 
@@ -157,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("dc_text"))
     kinds = (rows.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start long, n_words long, similarity double, bits_apart int"
-    context = docs.sparkSession.sparkContext
+    context, item_type = docs.sparkSession.sparkContext, to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for block in blocks_of(benchmark, item_col, item_text):
         sent = context.broadcast(block)
@@ -176,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     if found:
                         at, item, *rest = zip(*found, strict=True)
                         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-                        yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(item), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=[id_col, item_col, "start", "n_words", "similarity", "bits_apart"])
+                        yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(item, item_type), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=[id_col, item_col, "start", "n_words", "similarity", "bits_apart"])
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)

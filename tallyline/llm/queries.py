@@ -60,7 +60,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_back(warc.archived(table(spark, sf_dir, "pages"), least=0))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.octet_length("record").cast("long").alias("record_bytes"), "verified")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op7_line_dedup, op8_warc, op9_decontamination, op10_simhash)}
 
 
+#: Each base 32 digit is five bits of one of four runs of ten hex digits of the SHA-1.
+OP8_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, upper(sha1(h)) AS x, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST(concat('0x', substr(x, CAST(1 + 10 * (i // 8) AS BIGINT), 10)) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to, TRUE AS verified FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
