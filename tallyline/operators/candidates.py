@@ -68,3 +68,24 @@ def consensus(base: DataFrame, other: DataFrame) -> DataFrame:
     any_shared = marked.groupBy("statement_id").agg(F.max("shared").alias("any_shared"))
     out = marked.join(proof, "statement_id").join(any_shared, "statement_id")
     return out.where(F.col("shared") | (F.col("wrong") == 0) | ~F.col("any_shared")).drop("shared", "wrong", "any_shared", *KEYS[1:])
+
+
+def normalized(rows: DataFrame) -> DataFrame:
+    """Candidate rows with all ledger columns, amounts and dates in their types, undated rows left out."""
+    kinds = {"debit": "double", "credit": "double", "balance": "double", "source_page": "int", "source_row": "long", "narration": "string", "reference": "string"}
+    out = rows.withColumns({c: (F.col(c).try_cast(kind) if c in rows.columns else F.lit(None).cast(kind)) for c, kind in kinds.items()})
+    return out.withColumn("date", F.col("date").try_cast("date")).where(F.col("date").isNotNull())
+
+
+def review_marks(ledger: DataFrame) -> DataFrame:
+    """Rows of a statement with a single mismatch, that row marked for review with its difference."""
+    checked = balance_check(ledger)
+    one = checked.where("status = 'MISMATCH'").groupBy("statement_id").agg(F.count("*").alias("wrong")).where("wrong = 1")
+    mark = (F.col("status") == "MISMATCH") & F.col("wrong").isNotNull()
+    return checked.join(one, "statement_id", "left").withColumn("review", F.coalesce(mark, F.lit(False))).drop("wrong")
+
+
+def upserted(history: DataFrame, key: str, time: str, most: int = 25) -> DataFrame:
+    """The latest entry of each key, and of those the latest `most`."""
+    last = history.groupBy(key).agg(F.max_by(F.struct(*history.columns), time).alias("e")).select("e.*")
+    return last.orderBy(F.desc(time), key).limit(most)

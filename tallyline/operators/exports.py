@@ -38,3 +38,24 @@ def kpis(enriched: DataFrame) -> DataFrame:
     flagged = F.count_if(F.col("priority") != "NORMAL")
     total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(18,2)")), F.lit(0)).cast("double")
     return enriched.groupBy("statement_id").agg(F.count("*").alias("n_rows"), total("credit").alias("credits"), total("debit").alias("debits"), flagged.alias("flagged"), F.floor(100 * flagged / F.count("*")).alias("flagged_percent"))
+
+
+def summary(ledger: DataFrame, rates: DataFrame) -> DataFrame:
+    """The executive figures of each statement, a row each, from a ledger and its recovery rates."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(18,2)")), F.lit(0)).cast("double")
+    base = ledger.groupBy("statement_id").agg(F.count("*").cast("double").alias("rows"), total("credit").alias("credits"), total("debit").alias("debits"), F.countDistinct("date").cast("double").alias("days"))
+    out = base.join(rates.select("statement_id", F.col("mismatches").cast("double").alias("mismatches"), F.col("gaps").cast("double").alias("gaps")), "statement_id")
+    return out.unpivot("statement_id", [c for c in out.columns if c != "statement_id"], "metric", "value")
+
+
+def provenance(ledger: DataFrame) -> DataFrame:
+    """Rows by where they came from; nulls are a group."""
+    places = [c for c in ("source_sheet", "source_page") if c in ledger.columns]
+    return ledger.groupBy("statement_id", *places).agg(F.count("*").alias("n_rows"))
+
+
+def projected(ledger: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """The required columns first, then the others, without a second date; an error names what is missing."""
+    if missing := [c for c in required if c not in ledger.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return ledger.select(*required, *(c for c in ledger.columns if c not in required and c != "value_date"))

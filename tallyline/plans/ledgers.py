@@ -121,3 +121,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = top.select("statement_id", F.lit(3).alias("row"), F.posexplode(heads).alias("col", "value"))
     title = top.select("statement_id", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("Account statement by date").alias("value"))
     return body.unionByName(head).unionByName(title).where(F.col("value").isNotNull()).select("statement_id", F.lit("s1").alias("sheet"), "row", "col", "value")
+
+
+def band_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed pages of small accounts whose columns stand in fixed bands, words of a row at slightly different heights."""
+    small = printed(spark, sf_dir).where(F.col("statement_id").cast("long") % 20 == 0)
+    n = F.row_number().over(W.partitionBy("statement_id").orderBy("source_seq")) - 1
+    rows = small.withColumns({"page": F.floor(n / 20).cast("int"), "y": 100.0 + (n % 20) * 30.0})
+    number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
+    at = lambda x, d, t: F.struct(F.lit(float(x)).alias("x0"), (F.col("y") + d).alias("y0"), F.lit(float(x) + 30).alias("x1"), (F.col("y") + d + 8).alias("y1"), t.alias("text"))
+    cells = F.array(at(20, 0, F.date_format("date", "dd/MM/yyyy")), at(80, 3, number("debit")), at(160, -3, number("credit")), at(210, 5, number("balance")), at(330, -5, F.concat(F.lit("N"), F.col("source_seq").cast("string"))))
+    return rows.select("statement_id", "page", F.explode(F.filter(cells, lambda w: w["text"].isNotNull())).alias("w")).select("statement_id", "page", "w.*")

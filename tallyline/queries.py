@@ -426,3 +426,75 @@ def doc_text_ratio(spark, d):
 @query("SELECT page_id, sha256(html) AS evidence FROM pages")
 def evidence_hash(spark, d):
     return L.table(spark, d, "pages").select("page_id", S.evidence_hash(F.col("html").cast("binary")).alias("evidence"))
+
+
+@query(f"""WITH {L.ACCOUNTS_SQL} SELECT statement_id, source_seq, concat(narration, ' to 31-') AS narration, concat('UPI/', CAST(1000000 + source_seq AS VARCHAR)) AS reference FROM accounts WHERE source_seq % 12 = 4""")
+def reference_cleanup(spark, d):
+    rows = L.accounts(spark, d).where("source_seq % 12 = 4").withColumn("reference", F.concat(F.lit("UPI/"), (F.col("source_seq") + 1000000).cast("string"), F.lit(" to 31-")))
+    narration, reference = T.cleaned_reference(F.col("narration"), F.col("reference"))
+    return rows.select("statement_id", "source_seq", narration.alias("narration"), reference.alias("reference"))
+
+
+@query(f"""WITH {L.FAULTY_SQL} SELECT statement_id, round(min(opening), 2) AS opening, {sums('debit')} AS withdrawal, {sums('credit')} AS deposit, round(max_by(balance, source_seq), 2) AS closing FROM printed GROUP BY statement_id HAVING min(opening) >= 0 AND max_by(balance, source_seq) >= 0""")
+def statement_summary(spark, d):
+    sums_of = L.printed(spark, d).groupBy("statement_id").agg(F.min("opening").alias("o"), F.coalesce(F.sum(findings.cents("debit")), F.lit(0)).cast("double").alias("w"), F.coalesce(F.sum(findings.cents("credit")), F.lit(0)).cast("double").alias("c"), F.max_by("balance", "source_seq").alias("b")).where("o >= 0 and b >= 0")
+    text = F.format_string("Account 77\nOpening Balance : INR %,.2f\nTotal Withdrawals : %,.2f\nTotal Deposits : %,.2f\nClosing Balance : %,.2f", "o", "w", "c", "b")
+    return sums_of.select("statement_id", T.statement_summary(text).alias("s")).select("statement_id", "s.*")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'HDFC' WHEN 1 THEN 'SBI' WHEN 2 THEN 'PNB' ELSE 'GENERIC' END AS bank, CASE c_custkey % 4 WHEN 0 THEN 0.57::DOUBLE WHEN 1 THEN 0.69::DOUBLE WHEN 2 THEN 0.57::DOUBLE ELSE 0::DOUBLE END AS confidence FROM customer""")
+def bank_format_detect(spark, d):
+    text = F.element_at(F.array(F.lit("HDFC Bank statement"), F.lit("State Bank of India, SBI branch"), F.lit("Punjab National Bank"), F.lit("some bank")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return L.table(spark, d, "customer").select("c_custkey", T.bank_format(text).alias("b")).select("c_custkey", "b.*")
+
+
+@query(f"WITH {L.FAULTY_SQL} SELECT statement_id, source_seq, CASE WHEN source_seq % 3 = 0 THEN 'ORDER GOODS' ELSE 'ORDER' END AS narration FROM printed {SMALL}")
+def wrapped_narration(spark, d):
+    rows = L.printed(spark, d).where(F.col("statement_id").cast("long") % 20 == 0).withColumn("narration", F.lit("ORDER"))
+    return layout.wrapped_narration(rows, layout.lines(L.words(spark, d))).select("statement_id", "source_seq", "narration")
+
+
+@query(f"WITH {L.FAULTY_SQL} SELECT statement_id, date, debit, credit, round(balance, 2) AS balance, concat('N', CAST(source_seq AS VARCHAR)) AS narration FROM printed {SMALL}")
+def layout_fixed_bands(spark, d):
+    return layout.fixed_bands(L.band_words(spark, d)).select("statement_id", "date", "debit", "credit", F.round("balance", 2).alias("balance"), "narration")
+
+
+@query(f"WITH {L.FAULTY_SQL}, n AS (SELECT statement_id, row_number() OVER (PARTITION BY statement_id ORDER BY source_seq) - 1 AS k FROM printed {SMALL}) SELECT statement_id, CAST(k // 20 AS INTEGER) AS source_page, count(*) AS n_rows FROM n GROUP BY ALL")
+def provenance(spark, d):
+    return exports.provenance(layout.layout_rows(L.words(spark, d)))
+
+
+@query(f"WITH {CHECK_SQL}, m AS (SELECT statement_id, count(*) FILTER (WHERE status = 'MISMATCH') AS wrong FROM checked GROUP BY statement_id) SELECT statement_id, source_seq, status = 'MISMATCH' AND wrong = 1 AS review FROM checked JOIN m USING (statement_id)")
+def balance_review_mark(spark, d):
+    return C.review_marks(L.faulty(spark, d)).select("statement_id", "source_seq", "review")
+
+
+@query(SQL["candidate_stats"].replace("SELECT statement_id, method, count(*)", "SELECT statement_id, method, CASE WHEN n_rows < 10 THEN 'too few rows' WHEN balance_rate < 0.4 THEN 'balances missing' WHEN mismatches > greatest(5, floor(n_rows * 0.25)) THEN 'too many mismatches' ELSE '' END AS reason FROM (SELECT statement_id, method, count(*)") + ")")
+def candidate_acceptance(spark, d):
+    return C.acceptance(C.stats(L.candidates(spark, d))).select("statement_id", "method", "reason")
+
+
+@query(f"WITH {L.ACCOUNTS_SQL} SELECT statement_id, source_seq, date, narration, reference, debit, credit, opening AS balance FROM accounts WHERE date IS NOT NULL")
+def normalize_candidate(spark, d):
+    texts = L.accounts(spark, d).select("statement_id", "source_seq", F.col("date").cast("string").alias("date"), "narration", "reference", "debit", F.col("credit").cast("string").alias("credit"), F.col("opening").alias("balance"))
+    return C.normalized(texts).drop("source_page", "source_row")
+
+
+@query(f"WITH {L.ACCOUNTS_SQL} SELECT statement_id, source_seq, date, narration, reference, debit, credit, opening AS balance, party FROM accounts")
+def project_schema(spark, d):
+    from .schema import LEDGER
+
+    rows = L.accounts(spark, d).withColumnRenamed("opening", "balance").withColumn("value_date", F.col("date"))
+    return exports.projected(rows, LEDGER)
+
+
+@query(f"""WITH {CHECK_SQL}, {RATES_SQL}, b AS (SELECT statement_id, CAST(count(*) AS DOUBLE) AS "rows", {sums('credit')} AS credits, {sums('debit')} AS debits, CAST(count(DISTINCT date) AS DOUBLE) AS days FROM faulty GROUP BY statement_id),
+w AS (SELECT b.*, CAST(mismatches AS DOUBLE) AS mismatches, CAST(gaps AS DOUBLE) AS gaps FROM b JOIN rates USING (statement_id)) SELECT statement_id, metric, value FROM (UNPIVOT w ON "rows", credits, debits, days, mismatches, gaps INTO NAME metric VALUE value)""")
+def export_summary(spark, d):
+    rows = L.faulty(spark, d)
+    return exports.summary(rows, gates.recovery_rates(rows))
+
+
+@query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type FROM e WHERE n = 1 ORDER BY event_id DESC LIMIT 25")
+def session_history(spark, d):
+    return C.upserted(L.table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
