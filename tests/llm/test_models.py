@@ -24,25 +24,17 @@ def test_base_scores(docs):
     assert sorted(found, key=repr) == sorted(wanted, key=repr)
 
 
-def test_probabilities_sum_to_one(spark, monkeypatch):
-    """With a small head, so that most words are looked up by joins."""
-    monkeypatch.setattr(lm_scoring, "HEAD", 20)
-    monkeypatch.setattr(lm_scoring, "CONTEXTS", 5)
-    known = sorted({w for k in range(40) for w in text(k, 50).split()})
-    train = [(k, text(k, 50)) for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2]
-    first = train[0][1].split()[0]
-    probes = [(1_000_000 + k, w) for k, w in enumerate([*known, "unknown"])]
-    probes = [(i, w) for i, w in probes]
-    docs = spark.createDataFrame(train + probes, "doc_id long, text string")
-    scores = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs, is_held=F.col("doc_id") >= 1_000_000).collect()}
-    ends = lm_scoring.scored(spark.createDataFrame(train + [(2_000_000, "")], "doc_id long, text string"), is_held=F.col("doc_id") >= 1_000_000)
-    end = {r["doc_id"]: r["score"] for r in ends.collect()}[2_000_000]
-    assert first in known
-    # A text of one word scores the word and then its end; the end's share after a word that is no context is that at the start.
-    heads = Counter(w for _, t in train for w in t.split())
-    contexts = {w for w, _ in sorted(heads.items(), key=lambda x: -x[1])[:12]}
-    total = 10**end + sum(10 ** (scores[i] - end) for i, w in probes if w not in contexts)
-    assert total < 1
+@pytest.mark.parametrize("n_head", [20, 60, 1000])
+def test_probabilities_sum_to_one(spark, n_head):
+    """After the start of a text: every known word, an unknown one and the end, whether found in the head or by joins."""
+    train = [(k, text(k, 50)) for k in range(40)]
+    known = sorted({w for _, t in train for w in t.split()})
+    probes = [(1000 + k, w) for k, w in enumerate([*known, "unknown"])]
+    docs = spark.createDataFrame([*train, *probes, (5000, "")], "doc_id long, text string")
+    # With no word as a context, the end after a word has the probability it has at the start.
+    scores = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs, is_held=F.col("doc_id") >= 1000, n_contexts=0, n_head=n_head).collect()}
+    end = scores[5000]
+    assert abs(10**end + sum(10 ** (scores[i] - end) for i, _ in probes) - 1) < 1e-4
 
 
 def test_seating_matches_the_exact_law():
