@@ -18,6 +18,12 @@ def test_blocks(page, blocks):
     assert html_extract.content_blocks(html_extract.parse(page)) == blocks
 
 
+def test_all_articles_and_the_main_text_around_them():
+    page = "<nav>menu</nav><main><h1>Headline</h1><p>lead</p><article><p>first one</p><article class='comment'><p>reader</p></article></article><p>between</p><article><p>second, longer one</p></article></main><p>out</p>"
+    assert html_extract.content_blocks(html_extract.parse(page)) == ["Headline", "lead", "first one", "between", "second, longer one"]
+    assert html_extract.content_blocks(html_extract.parse("<article>a</article><p>x</p><article>b</article>")) == ["a", "b"]
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 5000 + "text" + "</div>" * 5000
     assert html_extract.content_blocks(html_extract.parse(deep)) == ["text"]
