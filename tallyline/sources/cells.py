@@ -31,19 +31,27 @@ def headers(cells: DataFrame, within: int = 60, least: int = 3) -> DataFrame:
 
 
 def picked(cells: DataFrame, head: DataFrame) -> DataFrame:
-    """(statement_id, sheet, target, col): the column whose heading holds the longest name of each target, leftmost first."""
+    """(statement_id, sheet, target, col, combined): the column whose heading holds the longest name of each target, leftmost first.
+
+    A column that is headed as both debit and credit is combined, and goes before others for these two.
+    """
     row = cells.join(head, SHEET).where(F.col("row") == F.col("header_row")).withColumn("name", T.norm(F.col("value")))
     longest = lambda names: F.greatest(F.lit(0), *(F.when(F.col("name").contains(x), F.lit(len(x))).otherwise(0) for x in names))
     targets = F.array(*(F.struct(F.lit(t).alias("target"), longest(names).alias("size")) for t, names in SYNONYMS.items()))
-    w = W.partitionBy(*SHEET, "target").orderBy(F.desc("size"), "col")
-    found = row.select(*SHEET, "header_row", "col", F.inline(targets)).where("size > 0")
-    return found.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*SHEET, "header_row", "target", "col")
+    w = W.partitionBy(*SHEET, "target").orderBy(F.desc("combined"), F.desc("size"), "col")
+    both = F.col("name").rlike("withdrawal|debit") & F.col("name").rlike("deposit|credit")
+    found = row.select(*SHEET, "header_row", "col", both.alias("both"), F.inline(targets)).where("size > 0")
+    found = found.withColumn("combined", F.col("both") & F.col("target").isin("debit", "credit"))
+    return found.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*SHEET, "header_row", "target", "col", "combined")
 
 
 def standardize(cells: DataFrame) -> DataFrame:
     """Ledger rows of all sheets; sheets without a header are left out (see `headers`); the physical row is kept."""
     columns = picked(cells, headers(cells))
     body = cells.join(columns, [*SHEET, "col"]).where(F.col("row") > F.col("header_row"))
+    # An amount of a combined column belongs to the side that DR or CR at its end names.
+    side = F.when(F.col("target") == "debit", F.upper("value").rlike(r"DR\s*\)?\s*$")).otherwise(F.upper("value").rlike(r"CR\s*\)?\s*$"))
+    body = body.where(~F.col("combined") | side)
     wide = body.groupBy(*SHEET, "row").pivot("target", list(SYNONYMS)).agg(F.first("value"))
     amounts = {c: F.abs(T.money(F.col(c))) for c in ("debit", "credit")} | {"balance": T.money(F.col("balance"))}
     out = wide.withColumns(amounts | {"date": T.parse_date(F.col("date"))})

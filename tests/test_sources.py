@@ -13,3 +13,11 @@ def test_search(spark):
     assert S.search_any_column(df, "AMAZON").count() == 1
     assert S.search_any_column(df, "(x)", literal=True).count() == 1
     assert S.search_any_column(df, "^1$").count() == 1
+
+
+def test_combined_column(spark):
+    """An amount under a combined heading goes to the side that DR or CR names, and to none without."""
+    sheet = [("Date", "Narration", "Withdrawal/Deposit", "Balance"), ("01/02/2024", "A", "1,250.50 DR", "900"), ("02/02/2024", "B", "500 (Cr)", "1400"), ("03/02/2024", "C", "7", "1400")]
+    cells = spark.createDataFrame([("s", "x", r, c, v) for r, row in enumerate(sheet) for c, v in enumerate(row)], "statement_id string, sheet string, row int, col int, value string")
+    rows = S.standardize(cells).orderBy("source_seq").collect()
+    assert [(r["narration"], r["debit"], r["credit"], r["balance"]) for r in rows] == [("A", 1250.5, None, 900.0), ("B", None, 500.0, 1400.0), ("C", None, None, 1400.0)]
