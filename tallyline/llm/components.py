@@ -1,4 +1,5 @@
-"""Connected components by alternating stars, as DataFrame joins and groupings.
+"""Groups of like things from keys under which they meet, and connected components by alternating stars, as DataFrame
+joins and groupings.
 
 Each round links every node to the least node it sees, first over its larger neighbours, then over its
 smaller ones, and writes the links to the shared folder; the number of rounds grows with the logarithm of
@@ -7,6 +8,8 @@ the longest path. Links stay in tables throughout.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,36 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         released(table)
         table = after
     return table.select(F.col("a").alias("node"), F.col("b").alias("component")).union(table.select("b", "b").distinct())
+
+
+def met(keys: DataFrame) -> DataFrame:
+    """(key, node) of the nodes that share a key with another; of keys with the same nodes one is enough."""
+    ends = [F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(F.xxhash64("node")).alias("z")]
+    crowded = keys.groupBy("key").agg(F.count("*").alias("m"), *ends).where("m > 1")
+    crowded = written(crowded.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")), "crowded")
+    # Two nodes of a key are its ends; the nodes of other keys are looked up.
+    pairs = crowded.where("m = 2").select("key", F.explode(F.array("x", "y")).alias("node"))
+    out = written(pairs.union(keys.join(crowded.where("m > 2").select("key"), "key", "left_semi")), "met")
+    released(crowded)
+    return out
+
+
+def grouped(keyed: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the nodes that links reach; keyed: distinct (key, node), compared: the linked ones of pairs (u, v).
+
+    Each node is compared with one chief, the least first node of its keys. Then only keys whose nodes aren't all in one
+    component are left, of which nodes of different components are compared pairwise. So no pair of a key is missed, and
+    a large group of like nodes makes rows in proportion to its size.
+    """
+    chiefs = keyed.groupBy("key").agg(F.min("node").alias("chief"))
+    pairs = keyed.join(chiefs, "key").where("node <> chief").groupBy(F.col("node").alias("v")).agg(F.min("chief").alias("u"))
+    links = written(compared(pairs.select("u", "v")), "links")
+    so_far = written(components(links), "groups")
+    members = written(keyed.join(so_far, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root")), "members")
+    apart = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = written(members.join(apart, "key", "left_semi"), "rest")
+    left, right = rest.toDF("key", "u", "root_u"), rest.toDF("key", "v", "root_v")
+    full = left.join(right, "key").where(F.col("root_u") < F.col("root_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    full = written(compared(full), "more-links")
+    released(links, members, rest)
+    return so_far if full.isEmpty() else components(so_far.select("node", "component").union(full))

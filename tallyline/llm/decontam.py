@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .rows import row_key, without
 from .tokenizing import balanced
 
 WIDTH, LEAST, RADIUS, BITS = 5, 0.8, 20, 64
@@ -182,3 +183,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item. Rows are told apart by id and text."""
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return without(docs, leaks(rows, benchmark, "key", "text", item_col, item_text), id_col, text_col)
