@@ -7,7 +7,7 @@ itself in a window. Statements with missing balances are searched with a beam, o
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,32 +22,42 @@ def _order(name: str) -> list:
     return {"source": [seq.asc()], "source_reversed": [seq.desc()], "date": [F.col("date").asc_nulls_last(), seq.asc()], "date_reversed": [F.col("date").desc_nulls_last(), seq.asc()]}[name]
 
 
-def solve_printed(ledger: DataFrame, opening: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
-    """Rows of statements that print every balance, in the best order, with sides swapped where that fits better."""
+def _closing_points(last: Column, closing: Column, known: Column, tolerance: float) -> Column:
+    """What the printed closing balance says about the last row of an order."""
+    return F.when(closing.isNull() | (known == 0), 0.0).when(F.abs(last - closing) <= tolerance, CLOSE).otherwise(FAR)
+
+
+def solve_printed(ledger: DataFrame, opening: DataFrame | None = None, closing: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """Rows of statements that print every balance, in the best order, with sides swapped where that fits better.
+
+    opening and closing: (statement_id, opening or closing) where they are printed. All orders are scored over one
+    shuffle by statement.
+    """
     rows = ledger
-    rows = rows.join(opening, "statement_id", "left") if opening is not None else rows.withColumn("opening", F.lit(None).cast("double"))
-    variants = None
+    for name, table in (("opening", opening), ("closing", closing)):
+        rows = rows.join(table, "statement_id", "left") if table is not None else rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("double"))
+    move = zero("credit") - zero("debit")
+    has = F.col("debit").isNotNull() | F.col("credit").isNotNull()
+    orders = []
     for k, name in enumerate(ORDERS):
         w = W.partitionBy("statement_id").orderBy(*_order(name))
         before = F.coalesce(F.lag("balance").over(w), F.col("opening"))
-        move = zero("credit") - zero("debit")
         error = lambda m, b=before: F.abs(F.col("balance") - (b + m))
-        points = lambda m: F.when(F.col("balance").isNull(), FREE).when(before.isNull(), -1.0).when(error(m) <= tolerance, HIT).otherwise(-F.least(F.lit(WORST), 5 + error(m) / 1000))  # noqa: B023, E731
-        part = rows.withColumns({"variant": F.lit(k), "place": F.row_number().over(w), "plain": points(move), "turned": points(-move) - SWAP})
-        has = F.col("debit").isNotNull() | F.col("credit").isNotNull()
-        part = part.withColumn("swapped", has & (F.col("turned") > F.col("plain")))
-        variants = part if variants is None else variants.unionByName(part)
+        points = lambda m, b=before, e=error: F.when(F.col("balance").isNull(), FREE).when(b.isNull(), -1.0).when(e(m) <= tolerance, HIT).otherwise(-F.least(F.lit(WORST), 5 + e(m) / 1000))
+        orders.append(F.struct(F.lit(k).alias("variant"), F.row_number().over(w).alias("place"), points(move).alias("plain"), (points(-move) - SWAP).alias("turned")))
+    variants = rows.withColumn("v", F.array(*orders)).withColumn("v", F.explode("v")).select("*", "v.*").drop("v").withColumn("swapped", has & (F.col("turned") > F.col("plain")))
     local = F.when(F.col("swapped"), F.col("turned")).otherwise(F.col("plain"))
-    sums = variants.groupBy("statement_id", "variant").agg(F.round(F.sum(local), 6).alias("total"))
+    last = _closing_points(F.max_by("balance", "place"), F.first("closing"), F.count("balance"), tolerance)
+    sums = variants.groupBy("statement_id", "variant").agg(F.round(F.sum(local) + last, 6).alias("total"))
     best = sums.groupBy("statement_id").agg(F.max_by(F.struct("variant", "total"), F.struct("total", -F.col("variant"))).alias("b"))
     out = variants.join(best, "statement_id").where(F.col("variant") == F.col("b.variant"))
     side = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
     out = out.withColumns({"new_debit": side("debit", "credit"), "new_credit": side("credit", "debit"), "score": F.col("b.total"), "order": F.element_at(F.array(*map(F.lit, ORDERS)), F.col("variant") + 1)})
-    out = out.drop("debit", "credit", "b", "plain", "turned", "opening", "variant")
+    out = out.drop("debit", "credit", "b", "plain", "turned", "opening", "closing", "variant")
     return out.withColumnsRenamed({"new_debit": "debit", "new_credit": "credit"})
 
 
-def beam(rows: list[tuple], opening: float | None, width: int = 512, tolerance: float = 0.01) -> tuple[float, list[bool]]:
+def beam(rows: list[tuple], opening: float | None, closing: float | None = None, width: int = 512, tolerance: float = 0.01) -> tuple[float, list[bool]]:
     """Best score and which rows to swap, for (debit, credit, balance) in order; states are running balances."""
     states: dict[float | None, tuple[float, tuple]] = {None if opening is None else round(opening, 2): (0.0, ())}
     for debit, credit, balance in rows:
@@ -67,6 +77,9 @@ def beam(rows: list[tuple], opening: float | None, width: int = 512, tolerance:
                     after[state] = (value, (path, swap))
         states = dict(sorted(after.items(), key=lambda x: -x[1][0])[:width])
     score, path = max(states.values(), key=lambda x: x[0])
+    if closing is not None and any(r[2] is not None for r in rows):
+        last = rows[-1][2]
+        score += CLOSE if last is not None and abs(last - closing) <= tolerance else FAR
     swaps: list[bool] = []
     while path:
         path, swap = path
@@ -81,13 +94,25 @@ def solve_missing(ledger: DataFrame, width: int = 512) -> DataFrame:
         for name, (by, up) in {"source": (["source_seq"], [True]), "source_reversed": (["source_seq"], [False]), "date": (["date", "source_seq"], [True, True]), "date_reversed": (["date", "source_seq"], [False, True])}.items():
             part = pdf.sort_values(by, ascending=up, kind="stable")
             rows = [tuple(None if pd.isna(x) else float(x) for x in r) for r in part[["debit", "credit", "balance"]].itertuples(index=False)]
-            first = part["opening"].iloc[0]
-            score, swaps = beam(rows, None if pd.isna(first) else float(first), width)
+            first, last = (None if pd.isna(x) else float(x) for x in part[["opening", "closing"]].iloc[0])
+            score, swaps = beam(rows, first, last, width)
             if best is None or score > best[0]:
                 best = (score, name, part.assign(swapped=swaps))
         score, name, part = best
         return part[["statement_id", "source_seq", "swapped"]].assign(score=round(score, 6), order=name)
 
-    rows = ledger if "opening" in ledger.columns else ledger.withColumn("opening", F.lit(None).cast("double"))
-    rows = rows.select("statement_id", "source_seq", "date", "debit", "credit", "balance", "opening")
+    rows = ledger
+    for name in ("opening", "closing"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("double"))
+    rows = rows.select("statement_id", "source_seq", "date", "debit", "credit", "balance", "opening", "closing")
     return rows.groupBy("statement_id").applyInPandas(solve, "statement_id string, source_seq long, swapped boolean, score double, order string")
+
+
+def solve(ledger: DataFrame, opening: DataFrame | None = None, closing: DataFrame | None = None) -> DataFrame:
+    """(statement_id, source_seq, swapped, score, order) of all rows: in a window where a statement prints every balance, else by beam."""
+    rows = ledger
+    for name, table in (("opening", opening), ("closing", closing)):
+        rows = rows.join(table, "statement_id", "left") if table is not None else rows
+    missing = rows.where(F.col("balance").isNull()).select("statement_id").distinct()
+    fast = solve_printed(rows.join(missing, "statement_id", "left_anti")).select("statement_id", "source_seq", "swapped", "score", "order")
+    return fast.unionByName(solve_missing(rows.join(missing, "statement_id", "left_semi")))

@@ -93,8 +93,8 @@ CANDIDATES_SQL = f"""{FAULTY_SQL}, candidates AS (
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed pages of small accounts: a header on the first page only, 20 rows a page, a line under every third row."""
-    small = printed(spark, sf_dir).where(F.col("statement_id").cast("long") % 20 == 0)
+    """Printed pages: a header on the first page only, 20 rows a page, a line under every third row."""
+    small = printed(spark, sf_dir)
     n = F.row_number().over(W.partitionBy("statement_id").orderBy("source_seq")) - 1
     rows = small.withColumns({"page": F.floor(n / 20).cast("int"), "y": 100.0 + (n % 20) * 30.0})
     number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
@@ -110,8 +110,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of small accounts: a title, then a header in the fourth row, then the rows."""
-    small = printed(spark, sf_dir).where(F.col("statement_id").cast("long") % 20 == 0)
+    """Sheets: a title, then a header in the fourth row, then the rows."""
+    small = printed(spark, sf_dir)
     row = F.row_number().over(W.partitionBy("statement_id").orderBy("source_seq")) + 3
     number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%,.2f", F.col(c)))
     values = F.array(F.date_format("date", "dd-MM-yyyy"), F.col("narration"), F.col("reference"), number("debit"), number("credit"), number("balance"))
@@ -124,8 +124,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed pages of small accounts whose columns stand in fixed bands, words of a row at slightly different heights."""
-    small = printed(spark, sf_dir).where(F.col("statement_id").cast("long") % 20 == 0)
+    """Printed pages whose columns stand in fixed bands, words of a row at slightly different heights."""
+    small = printed(spark, sf_dir)
     n = F.row_number().over(W.partitionBy("statement_id").orderBy("source_seq")) - 1
     rows = small.withColumns({"page": F.floor(n / 20).cast("int"), "y": 100.0 + (n % 20) * 30.0})
     number = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
