@@ -9,11 +9,12 @@ the longest path. Links stay in tables throughout.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import released, written
+from .storage import released, shuffles_dropped, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -45,15 +46,25 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return table.select(F.col("a").alias("node"), F.col("b").alias("component")).union(table.select("b", "b").distinct())
 
 
+#: Parts of the keys that are counted one after the other, so that their shuffles aren't on disk at once.
+PARTS = 4
+
+
 def met(keys: DataFrame) -> DataFrame:
-    """(key, node) of the nodes that share a key with another; of keys with the same nodes one is enough."""
+    """(key, node) of the nodes that share a key with another; of keys with the same nodes one is enough. keys is a written table."""
+    found = []
     ends = [F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(F.xxhash64("node")).alias("z")]
-    crowded = keys.groupBy("key").agg(F.count("*").alias("m"), *ends).where("m > 1")
-    crowded = written(crowded.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")), "crowded")
-    # Two nodes of a key are its ends; the nodes of other keys are looked up.
-    pairs = crowded.where("m = 2").select("key", F.explode(F.array("x", "y")).alias("node"))
-    out = written(pairs.union(keys.join(crowded.where("m > 2").select("key"), "key", "left_semi")), "met")
-    released(crowded)
+    for part in range(PARTS):
+        some = keys.where(F.pmod("key", F.lit(PARTS)) == part)
+        crowded = some.groupBy("key").agg(F.count("*").alias("m"), *ends).where("m > 1")
+        crowded = written(crowded.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")), "crowded")
+        # Two nodes of a key are its ends; the nodes of other keys are looked up.
+        pairs = crowded.where("m = 2").select("key", F.explode(F.array("x", "y")).alias("node"))
+        found.append(written(pairs.union(some.join(crowded.where("m > 2").select("key"), "key", "left_semi")), "met"))
+        released(crowded)
+        shuffles_dropped(keys)
+    out = written(reduce(DataFrame.union, found), "met")
+    released(*found)
     return out
 
 
@@ -75,4 +86,5 @@ def grouped(keyed: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> Dat
     full = left.join(right, "key").where(F.col("root_u") < F.col("root_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     full = written(compared(full), "more-links")
     released(links, members, rest)
+    shuffles_dropped(keyed)
     return so_far if full.isEmpty() else components(so_far.select("node", "component").union(full))

@@ -7,6 +7,7 @@ one of its own.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,9 @@ def released(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shuffles_dropped(df: DataFrame) -> None:
+    """Spark deletes the files of finished shuffles when the driver has collected their plans: here and now."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
