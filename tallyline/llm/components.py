@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import released, shuffles_dropped, written
@@ -68,23 +68,54 @@ def met(keys: DataFrame) -> DataFrame:
     return out
 
 
-def grouped(keyed: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the nodes that links reach; keyed: distinct (key, node), compared: the linked ones of pairs (u, v).
+def grouped(keyed: DataFrame, sizes: DataFrame, compared: Callable[[DataFrame], DataFrame], allowed: Callable[[Column], Column]) -> DataFrame:
+    """(node, component) of the nodes that links reach; keyed: distinct (key, node), sizes: (node, size).
 
-    Each node is compared with one chief, the least first node of its keys. Then only keys whose nodes aren't all in one
-    component are left, of which nodes of different components are compared pairwise. So no pair of a key is missed, and
-    a large group of like nodes makes rows in proportion to its size.
+    compared takes pairs (u, v, limit) and returns (u, v, d, least): d, a bound from above of their distance, if it is
+    found to be `limit` at most, else null; least: a bound from below. A distance is a metric; u and v are linked at a
+    distance of allowed(the larger size) at most.
+
+    1. Each node is compared with one chief, the least first node of its keys.
+    2. Of keys whose nodes aren't all in one component by now, the chiefs are compared. If theirs is so far that no node
+       near the one can be linked with a node near the other, by the triangle inequality, that settles all their nodes.
+    3. What is left is compared pairwise.
+    So no pair of a key is missed, and large groups of like nodes make rows in proportion to their size.
     """
     chiefs = keyed.groupBy("key").agg(F.min("node").alias("chief"))
     pairs = keyed.join(chiefs, "key").where("node <> chief").groupBy(F.col("node").alias("v")).agg(F.min("chief").alias("u"))
-    links = written(compared(pairs.select("u", "v")), "links")
-    so_far = written(components(links), "groups")
-    members = written(keyed.join(so_far, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root")), "members")
+
+    def limited(some: DataFrame) -> DataFrame:
+        """Pairs (u, v) with what their sizes allow."""
+        some = some.join(sizes.toDF("u", "size_u"), "u").join(sizes.toDF("v", "size_v"), "v")
+        most = allowed(F.greatest("size_u", "size_v"))
+        return some.where(F.abs(F.col("size_u") - F.col("size_v")) <= most).select("u", "v", most.alias("limit"))
+
+    near = written(compared(limited(pairs.select("u", "v"))).where("d is not null").select("u", "v", "d"), "links")
+    so_far = written(components(near.select("u", "v")), "groups")
+    own = near.select(F.col("v").alias("node"), F.col("u").alias("chief"), "d")
+    members = keyed.join(so_far, "node", "left").join(own, "node", "left").join(sizes, "node")
+    members = members.select("key", "node", "size", F.coalesce("component", "node").alias("root"), F.coalesce("chief", "node").alias("chief"), F.coalesce("d", F.lit(0)).alias("d"))
+    members = written(members, "members")
     apart = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rest = written(members.join(apart, "key", "left_semi"), "rest")
-    left, right = rest.toDF("key", "u", "root_u"), rest.toDF("key", "v", "root_v")
-    full = left.join(right, "key").where(F.col("root_u") < F.col("root_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    full = written(compared(full), "more-links")
-    released(links, members, rest)
+    parts = rest.groupBy("key", "chief", "root").agg(F.max("d").alias("d"), F.max("size").alias("high"), F.min("size").alias("low"))
+    parts = written(parts, "parts")
+    left, right = parts.toDF("key", "u", "root_u", "d_u", "high_u", "low_u"), parts.toDF("key", "v", "root_v", "d_v", "high_v", "low_v")
+    most = allowed(F.greatest("high_u", "high_v"))
+    far = (F.col("low_u") - F.col("high_v") > most) | (F.col("low_v") - F.col("high_u") > most)
+    both = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & ~far)
+    both = both.groupBy("u", "v").agg(F.max(most + F.col("d_u") + F.col("d_v")).alias("limit"), F.max(most).alias("most"))
+    found = written(compared(both.select("u", "v", "limit")).join(both, ["u", "v"]).select("u", "v", "d", "least", "most", "limit"), "chiefs")
+    # A chief pair within its own sizes' allowance is a link; the others only bound.
+    links = limited(found.where("d is not null").select("u", "v")).join(found.select("u", "v", "d"), ["u", "v"]).where("d <= limit").select("u", "v")
+    open_ = found.where("d is not null").select(F.col("u").alias("chief_u"), F.col("v").alias("chief_v"))
+    merged = written(components(near.select("u", "v").union(links)), "groups")
+    now = rest.drop("root", "size", "d").join(merged, "node", "left").select("key", "node", "chief", F.coalesce("component", "node").alias("root"))
+    one = now.toDF("key", "u", "chief_u", "root_u").join(open_, "chief_u")
+    two = now.toDF("key", "v", "chief_v", "root_v")
+    single = one.join(two, ["key", "chief_v"]).where(F.col("root_u") != F.col("root_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    full = written(compared(limited(single)).where("d is not null").select("u", "v"), "more-links")
+    out = merged if full.isEmpty() else components(merged.select("node", "component").union(full))
+    released(near, so_far, members, rest, parts, found)
     shuffles_dropped(keyed)
-    return so_far if full.isEmpty() else components(so_far.select("node", "component").union(full))
+    return out

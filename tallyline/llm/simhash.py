@@ -188,18 +188,24 @@ def _prepared(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
     return rows.mapInArrow(prepare, f"id {kind}, key struct<k1:long,k2:long>, a long, b long, bits array<long>, parts binary")
 
 
-def _alike(pairs: DataFrame, least: float) -> DataFrame:
-    """(u, v) of the pairs (u, v, s, t: sorted distinct hashes) whose Jaccard similarity is at least `least`."""
+#: Jaccard distances are whole numbers of this part, rounded up.
+PART = 1_000_000
+
+
+def _distances(pairs: DataFrame) -> DataFrame:
+    """pairs(u, v, limit, s, t: sorted distinct hashes) as (u, v, d, least): the Jaccard distance in parts, null if it is over limit."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            found = []
+            for s, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                every = len(x) + len(y) - both
+                found.append(-(-PART * (every - both) // every) if every else 0)
+            d, limit = np.array(found, dtype=np.int64), batch.column(2).to_numpy()
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d, mask=d > limit), pa.array(d)], names=["u", "v", "d", "least"])
 
-    return pairs.select("u", "v", "s", "t").mapInArrow(compare, "u long, v long")
+    return pairs.select("u", "v", F.col("limit").cast("long").alias("limit"), "s", "t").mapInArrow(compare, "u long, v long, d long, least long")
 
 
 def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,11 +222,12 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     parts = nodes.select("node", "parts")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs.join(parts.toDF("u", "s"), "u").join(parts.toDF("v", "t"), "v"), least)
+        return _distances(pairs.join(parts.toDF("u", "s"), "u").join(parts.toDF("v", "t"), "v"))
 
     keyed = met(keys)
     released(keys)
-    found = grouped(keyed, compared)
+    limit = F.lit(round((1 - least) * PART)).cast("long")
+    found = grouped(keyed, nodes.select("node", F.lit(0).cast("long").alias("size")), compared, lambda _: limit)
     of = nodes.join(found, "node", "left").select("a", "b", "least", F.coalesce("component", "node").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("a", "b", "component_id")
     out = written(rows.select("id", "key", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "key", "component_id"), "copies")
