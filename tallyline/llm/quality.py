@@ -9,9 +9,11 @@ compares one measure with a cutoff, above which a text is rejected.
   binomial probability of so few rejected good texts, if the true share were `RISK`, must be at most `DELTA`
   divided by the number of tests (strata times rules). Only rule sets that pass may be used; among them the one
   that parts best is. So with probability 1 - DELTA no stratum's rules reject more than RISK of its good texts.
-- A stratum without enough labels for any test keeps what the base rules keep.
+- A stratum without enough labels for any test keeps what the base rules keep: with so few, no exact test can pass.
+- The risk is that of the method's rules over all labelled good texts, those that the base rules reject among them.
 
-What goes to the driver are counts by stratum, rule and cutoff. Null text has no words; null languages are a
+Strata are chosen and tested in a task each, from counts by rule and cutoff, and their cutoffs are joined to the rows.
+Very long texts are measured whole, in memory linear in their length. Null text has no words; null languages are a
 stratum of their own; null labels don't count, of repeated labels the largest does. An empty table gives an
 empty result, repeated rows a row each; other columns are not read.
 """
@@ -22,12 +24,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import released, written
 from .tokenizing import balanced
 
 SYMBOLS = b"#*$%&|<>"
@@ -68,8 +71,6 @@ def measures(text: str) -> tuple[int, ...]:
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_distinct")
 RISK, DELTA = 0.03, 0.05
-#: A stratum is tested if so many of its good texts are held out.
-LEAST = 100
 #: What a share of good texts costs against the same share of bad ones.
 WEIGHT = 10
 
@@ -78,18 +79,22 @@ def _share(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-def rules() -> dict[str, tuple[Column, list[float]]]:
-    """Measure, and the cutoffs among which a stratum chooses, by rule."""
+def grids() -> dict[str, list[float]]:
+    """The cutoffs among which a stratum chooses, by rule."""
     shares = [round(0.005 * 1.12**k, 4) for k in range(47)]
     return {
-        "symbols": (_share("n_symbols", "word_chars"), shares),
-        "capitals": (_share("n_capitals", "word_chars"), shares),
-        "marks": (_share("n_marks", "n_words"), [round(0.1 * 1.08**k, 4) for k in range(47)]),
-        "repetition": (_share("n_repeat_words", "n_words"), shares),
-        "same_words": (F.lit(1) - _share("n_distinct", "n_words"), [round(0.02 * k, 2) for k in range(1, 50)]),
-        "same_lines": (_share("n_dup_lines", "n_lines"), shares),
-        "long_words": (_share("word_chars", "n_words"), [round(4 + 0.2 * k, 1) for k in range(60)]),
+        "symbols": shares, "capitals": shares, "marks": [round(0.1 * 1.08**k, 4) for k in range(47)], "repetition": shares,
+        "same_words": [round(0.02 * k, 2) for k in range(1, 50)], "same_lines": shares, "long_words": [round(4 + 0.2 * k, 1) for k in range(60)],
+    }
+
+
+def rules() -> dict[str, tuple[Column, list[float]]]:
+    """Measure and cutoffs by rule."""
+    measure = {
+        "symbols": _share("n_symbols", "word_chars"), "capitals": _share("n_capitals", "word_chars"), "marks": _share("n_marks", "n_words"), "repetition": _share("n_repeat_words", "n_words"),
+        "same_words": F.lit(1) - _share("n_distinct", "n_words"), "same_lines": _share("n_dup_lines", "n_lines"), "long_words": _share("word_chars", "n_words"),
     }
+    return {k: (measure[k], grid) for k, grid in grids().items()}
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -113,37 +118,35 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def ranked_cutoffs(histograms: DataFrame) -> dict[str, list[tuple[str, float]]]:
-    """By stratum the rules with their best cutoffs, the best rule first; from counts by (stratum, good, rule, bin)."""
-    counts: dict[tuple[str, str], dict[tuple[bool, int], int]] = {}
-    for r in histograms.collect():
-        counts.setdefault((r["stratum"], r["rule"]), {})[r["good"], r["bin"]] = r["n"]
-    out: dict[str, list[tuple[float, str, float]]] = {}
-    for (stratum, rule), n in counts.items():
-        grid = rules()[rule][1]
+def ranked_cutoffs(counts: dict[str, dict[tuple[bool, int], int]]) -> list[tuple[str, float]]:
+    """The rules of one stratum with their best cutoffs, the best rule first; from counts by good and bin of each rule. Ties go to the later name and the higher cutoff."""
+    out: list[tuple[float, str, float]] = []
+    for rule, n in counts.items():
+        grid = grids()[rule]
         size = {g: sum(v for (x, _), v in n.items() if x == g) for g in (True, False)}
         if not size[True] or not size[False]:
             continue
         above = lambda g, b: sum(v for (x, k), v in n.items() if x == g and k > b) / size[g]  # noqa: B023, E731
         gain, b = max((above(False, b) - WEIGHT * above(True, b), b) for b in range(len(grid)))
         if gain > 0:
-            out.setdefault(stratum, []).append((gain, rule, grid[b]))
-    return {k: [(rule, cutoff) for _, rule, cutoff in sorted(v, reverse=True)] for k, v in out.items()}
+            out.append((gain, rule, grid[b]))
+    return [(rule, cutoff) for _, rule, cutoff in sorted(out, reverse=True)]
 
 
-def failed(cutoffs: dict[str, list[tuple[str, float]]]) -> Column:
-    """How many of a stratum's rules must be switched on until the row is rejected; null if none rejects it."""
-    out = F.lit(None).cast("int")
-    measure = rules()
-    for stratum, chosen in cutoffs.items():
-        first = F.coalesce(*(F.when(measure[rule][0] > cutoff, F.lit(k + 1)) for k, (rule, cutoff) in enumerate(chosen)))
-        out = F.when(F.col("stratum") == stratum, first).otherwise(out)
-    return out
+#: What a stratum's cutoffs look like in a table.
+CHOSEN = "array<struct<rule:int,cutoff:double>>"
+
 
+def failed() -> Column:
+    """How many of the row's rules (column `chosen`) must be switched on until it is rejected; null if none rejects it."""
+    values = F.array(*(x.cast("double") for x, _ in rules().values()))
+    above = F.transform("chosen", lambda c: F.element_at(values, c["rule"] + 1) > c["cutoff"])
+    return F.nullif(F.coalesce(F.array_position(above, True), F.lit(0)), F.lit(0)).cast("int")
 
-def certified(tests: dict[str, dict[bool, list[int]]], sizes: dict[str, dict[bool, int]], risk: float, delta: float) -> dict[str, int]:
-    """By stratum the number of rules to switch on, among those that pass the exact test."""
-    n_tests = sum(len(x[True]) for x in tests.values()) or 1
+
+def certified(tests: dict[str, dict[bool, list[int]]], sizes: dict[str, dict[bool, int]], risk: float, delta: float, n_tests: int | None = None) -> dict[str, int]:
+    """By stratum the number of rules to switch on, among those that pass the exact test; n_tests: of all strata."""
+    n_tests = n_tests or sum(len(x[True]) for x in tests.values()) or 1
     out = {}
     for stratum, rejected in tests.items():
         good, bad = max(sizes[stratum].get(True, 0), 1), max(sizes[stratum].get(False, 0), 1)
@@ -153,22 +156,40 @@ def certified(tests: dict[str, dict[bool, list[int]]], sizes: dict[str, dict[boo
     return out
 
 
-def fitted(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> dict[str, list[tuple[str, float]]]:
-    """By stratum the rules to apply, from the labelled rows of a table of measures."""
+def fitted(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(stratum, chosen: its rules and cutoffs) from the labelled rows of a table of measures; strata without any have no row."""
+    names = list(grids())
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("qr_id")).agg(F.max(F.col(label_col) > 0).alias("good"))
     known = rows.join(marked, rows[id_col] == F.col("qr_id")).withColumn("half", F.pmod(F.xxhash64("qr_id"), F.lit(2)))
+    known = written(known.select("stratum", "good", "half", *NAMES), "labelled")
     below = lambda measure, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda x: x < measure))
-    bins = [F.struct(F.lit(rule).alias("rule"), below(*x).alias("bin")) for rule, x in rules().items()]
+    bins = [F.struct(F.lit(k).alias("rule"), below(*x).alias("bin")) for k, x in enumerate(rules().values())]
     # A row's bin is the number of cutoffs below its measure, so it is above cutoff b if its bin is larger than b.
-    first = known.where("half = 0").select("stratum", "good", F.explode(F.array(*bins)).alias("x"))
-    cutoffs = ranked_cutoffs(first.groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count("*").alias("n")))
-    later = known.where("half = 1").select("stratum", "good", failed(cutoffs).alias("k")).groupBy("stratum", "good", "k").agg(F.count("*").alias("n")).collect()
-    sizes: dict[str, dict[bool, int]] = {}
-    for r in later:
-        own = sizes.setdefault(r["stratum"], {})
-        own[r["good"]] = own.get(r["good"], 0) + r["n"]
-    tests = {s: {g: [sum(r["n"] for r in later if r["stratum"] == s and r["good"] == g and r["k"] is not None and r["k"] <= k + 1) for k in range(len(x))] for g in (True, False)} for s, x in cutoffs.items() if sizes.get(s, {}).get(True, 0) >= LEAST}
-    return {s: cutoffs[s][:k] for s, k in certified(tests, sizes, risk, delta).items()}
+    first = known.where("half = 0").select("stratum", "good", F.explode(F.array(*bins)).alias("x")).groupBy("stratum", "good", "x.rule", "x.bin").agg(F.count("*").alias("n"))
+
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A stratum's counts are at most two by the number of cutoffs."""
+        counts: dict[str, dict[tuple[bool, int], int]] = {}
+        for good, rule, b, n in pdf[["good", "rule", "bin", "n"]].itertuples(index=False):
+            counts.setdefault(names[rule], {})[bool(good), int(b)] = int(n)
+        found = [{"rule": names.index(rule), "cutoff": cutoff} for rule, cutoff in ranked_cutoffs(counts)]
+        return pd.DataFrame({"stratum": [key[0]], "chosen": [found]})
+
+    ranked = written(first.groupBy("stratum").applyInPandas(choose, f"stratum string, chosen {CHOSEN}").where("size(chosen) > 0"), "ranked")
+    n_tests = ranked.agg(F.sum(F.size("chosen"))).first()[0] or 1
+    later = known.where("half = 1").join(ranked, "stratum").select("stratum", "good", "chosen", failed().alias("k")).groupBy("stratum", "good", "k").agg(F.first("chosen").alias("chosen"), F.count("*").alias("n"))
+
+    def certify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen = [dict(rule=int(x["rule"]), cutoff=float(x["cutoff"])) for x in pdf["chosen"].iloc[0]]
+        pdf = pdf.assign(k=pd.to_numeric(pdf["k"]).fillna(np.inf))
+        sizes = {g: int(pdf["n"][pdf["good"] == g].sum()) for g in (True, False)}
+        tests = {g: [int(pdf["n"][(pdf["good"] == g) & (pdf["k"] <= k + 1)].sum()) for k in range(len(chosen))] for g in (True, False)}
+        best = certified({key[0]: tests}, {key[0]: sizes}, risk, delta, n_tests)
+        return pd.DataFrame({"stratum": [key[0]], "chosen": [chosen[: best.get(key[0], 0)]]})
+
+    out = written(later.groupBy("stratum").applyInPandas(certify, f"stratum string, chosen {CHOSEN}").where("size(chosen) > 0"), "cutoffs")
+    released(known, ranked)
+    return out
 
 
 def base_failed() -> Column:
@@ -179,4 +200,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The measures of each row, base_failed and kept."""
     rows = written(measured(docs, id_col, text_col, stratum_col), "measures")
     cutoffs = fitted(rows, labels, id_col=id_col, label_col=label_col)
-    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & failed(cutoffs).isNull())
+    return rows.join(cutoffs, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & failed().isNull()).drop("chosen")

@@ -14,7 +14,8 @@ lambda S - ln(K n) is positive, which is minus the log of its expected number by
 evidence is the sum over its significant segments.
 
 Null text counts as empty; texts without words have no evidence and the curve's lowest score. Unlabelled,
-null-labelled and repeated labels: the largest label of an id counts, null ones don't. Without any toxic or
+null-labelled and repeated labels: the largest label of an id counts, null ones don't. Ties can't arise: a text's score
+depends on its words alone. Very long texts are scored whole, in time and memory linear in their length. Without any toxic or
 any other training label every score is 0. Null ids are never held out. Only the named columns are read.
 """
 
@@ -35,13 +36,11 @@ from .tokenizing import balanced
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 30_000
-#: Words and beginnings that the model keeps at most: those seen in the most documents of the sample.
-UNITS = 200_000
 #: Weight of a prior, in documents.
 PRIOR = 2.0
 #: Taken from each token's log-odds, so that a text's expected score is negative.
 DRIFT = 1.0
-#: A word or beginning counts for itself if it is in this many sampled documents.
+#: A word or beginning counts for itself if it is in this many sampled documents; so the model is bounded by the sample.
 SEEN = 3
 REMEMBERED = 400_000
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_`~"
@@ -202,7 +201,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     counts = rows.where(~F.col("tx_later")).select("tx_text", "tx_label").mapInArrow(count, "unit string, c1 long, c0 long")
     counts = counts.groupBy("unit").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), (F.sum("c1") + F.sum("c0")).alias("c"))
-    kept = {r["unit"]: (r["c1"], r["c0"]) for r in counts.where(F.col("c") >= SEEN).orderBy(F.desc("c"), "unit").limit(UNITS).collect()}
+    kept = {r["unit"]: (r["c1"], r["c0"]) for r in counts.where(F.col("c") >= SEEN).collect()}
     n1, n0 = kept.pop("n", (0, 0))
     if not n1 or not n0:
         return Model({})
@@ -217,7 +216,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = scorer.scores(text)
-                out.append((len(s), label, sorted((x for _, _, x in maximal_segments(s)), reverse=True)[:64]))
+                out.append((len(s), label, sorted((x for _, _, x in maximal_segments(s)), reverse=True)))
                 if not label:
                     values, n = np.unique(np.round(s, 1), return_counts=True)
                     bins.update(dict(zip(values.tolist(), n.tolist(), strict=True)))

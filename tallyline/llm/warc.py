@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import released, written
 
 # Digits of Spark's base 32 and those of RFC 4648, and the parts of a WARC header.
 BASE_32, RFC_4648 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -53,17 +53,15 @@ def archived(pages: DataFrame, least: int = 0, date: str = DATE, id_col: str = "
     """Writes a record for each page; payloads of `least` bytes or more are stored once and revisited."""
     rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(id_col).alias("order"), F.regexp_replace(F.col(url_col).cast("string"), "[\\x00-\\x1f]", " ").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    copies = rows.groupBy("key", "size").agg(F.min("order").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= least))
-    copies = written(copies.select("key", "first"), "copies")
-    chosen = rows.join(copies, "key", "left").withColumn("revisits", F.coalesce(F.col("order").isNull() & F.col("first").isNotNull() | (F.col("order") != F.col("first")), F.lit(False)))
-    # A payload of its own or the first copy's; if the first page id repeats, one of the equal rows is stored.
-    single = chosen.where(F.col("first").isNull()).select("key", "payload", "size")
-    shared = chosen.where(F.col("first").isNotNull() & ~F.col("revisits")).dropDuplicates(["key"]).select("key", "payload", "size")
-    small = single.where(F.col("size") < least).dropDuplicates(["key"]) if least else None
-    stored = single.where(F.col("size") >= least).unionByName(shared)
-    if small is not None:
-        stored = stored.unionByName(small)
-    payloads = written(stored, "payloads")
+    narrow = rows.select("page", "order", "url", "key", "size", base32_sha1(F.col("payload")).alias("digest"))
+    narrow = written(narrow, "digests")
+    firsts = written(narrow.groupBy("key", "size").agg(F.min("order").alias("first"), F.count("*").alias("n")), "firsts")
+    # Records carry no payload to the rows of their key, so a payload that many pages share is many small rows.
+    copies = firsts.where((F.col("n") > 1) & (F.col("size") >= least)).select("key", "first")
+    chosen = narrow.join(copies, "key", "left").withColumn("revisits", F.coalesce(F.col("order").isNull() & F.col("first").isNotNull() | (F.col("order") != F.col("first")), F.lit(False)))
+    # Payloads go to the place of their page and key, not of their key alone; only the first page's is there to be met.
+    stored = rows.select("key", F.col("order").cast("string").alias("at"), "payload", "size").join(firsts.select(F.col("key").alias("own"), F.col("first").cast("string").alias("first")), (F.col("key") == F.col("own")) & F.col("at").eqNullSafe(F.col("first")))
+    payloads = written(stored.dropDuplicates(["key"]).select("key", "payload", "size"), "payloads")
 
     kind = F.when(F.col("revisits"), "revisit").otherwise("response")
     head = F.concat(
@@ -72,7 +70,7 @@ def archived(pages: DataFrame, least: int = 0, date: str = DATE, id_col: str = "
         _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce("page", F.lit("")), F.lit(">"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("WARC-Profile", F.when(F.col("revisits"), F.lit(PROFILE))),
         _line("WARC-Refers-To", F.when(F.col("revisits") & F.col("first").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))),
         _line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -80,6 +78,7 @@ def archived(pages: DataFrame, least: int = 0, date: str = DATE, id_col: str = "
         F.lit("\r\n"),
     )
     records = written(chosen.select(head.cast("binary").alias("header"), "key"), "records")
+    released(narrow, firsts)
     return Archive(records, payloads)
 
 

@@ -139,3 +139,29 @@ def test_rules_cut_bad_texts(spark):
 
 def test_schema_names():
     assert SCHEMA.startswith("doc_id")
+
+
+def test_cutoffs_by_stratum(spark):
+    """Two strata with marks of their own; 40 good labels can't certify 0.03, so the third keeps everything."""
+    clean = lambda k, lang: (k, text(k, 100), lang)
+    noisy = lambda k, lang: (k, " ".join(f"{w}###" for w in text(k, 100).split()), lang)
+    rows_ = [clean(k, "en") for k in range(900)] + [noisy(k, "en") for k in range(900, 1200)] + [clean(k, None) for k in range(2000, 2900)] + [noisy(k, None) for k in range(2900, 3200)] + [clean(k, "xx") for k in range(4000, 4040)] + [noisy(k, "xx") for k in range(4040, 4080)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int("###" not in t)) for k, t, _ in rows_], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.judged(docs, labels).where("kept").collect()}
+    assert kept == {k for k, t, lang in rows_ if "###" not in t or lang == "xx"}
+
+
+def test_many_segments(spark):
+    """A hundred toxic passages in one text: calibration and scoring see them all."""
+    bad, labels = [], []
+    for k in range(600):
+        passage = " ".join(["vile", "scum"] * 3)
+        body = " ".join(text(k * 7 + j, 90) + (" " + passage if k % 2 else "") for j in range(100 if k < 20 else 2))
+        bad.append((k, body))
+        labels.append((k, k % 2))
+    docs = spark.createDataFrame(bad, "doc_id long, text string")
+    model = toxicity.fitted(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    assert all((found[k]["score"] >= 0.5) == bool(k % 2) for k in range(600))
+    assert len(found[1]["passages"]) == 100

@@ -74,3 +74,58 @@ def test_archive(spark, least):
         assert head.startswith(b"WARC/1.1\r\n") and body.endswith(b"\r\n\r\n")
         if r["record_type"] == "response":
             assert body[:-4] in payloads
+
+
+@pytest.mark.parametrize("page", ['<div class="content has-sidebar"><p>the text</p></div>', '<article class="post with-comments"><p>the text</p></article>', '<div class="share-price-report"><p>the text</p></div>', '<div class="sidebar"><main><p>the text</p></main></div>', '<div class="no-sidebar page"><article><p>the text</p></article></div>'])
+def test_names_that_say_nothing(page):
+    assert html_extract.content_blocks(html_extract.parse(page)) == ["the text"]
+
+
+@pytest.mark.parametrize("page", ['<div class="site-footer">x</div>', '<ul class="nav-menu"><li>x</ul>', '<div id="comments_list">x</div>', '<section class="related-posts wrap2">x</section>', '<div class="cookie-notice">x</div>', "<div>" * 200 + "<nav>x</nav>" + "</div>" * 200])
+def test_names_and_elements_that_drop(page):
+    assert html_extract.content_blocks(html_extract.parse(page + "<p>the text</p>")) == ["the text"]
+
+
+def plain_match(a, b):
+    """Simple tree matching by its definition."""
+    if a.tag != b.tag:
+        return 0
+    if a.tag == "#":
+        return 1 + (a.text == b.text)
+    table = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain_match(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_matching_is_the_heaviest():
+    import random
+
+    r = random.Random(3)
+
+    def tree(depth):
+        return "".join(r.choice(["x", "y", "z"]) if depth == 0 or r.random() < 0.4 else f"<{t}>{tree(depth - 1)}</{t}>" for t in (r.choice(["div", "ul", "section"]) for _ in range(r.randint(1, 4))))
+
+    for _ in range(60):
+        a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
+        found = html_extract.Matching(a, b)
+        found.texts()
+        assert found.memo[id(a), id(b)][0] == plain_match(a, b)
+
+
+def test_long_lists_are_matched():
+    """300 children on either side, and 20,000; equal ones between others."""
+    for n in (300, 20_000):
+        page = lambda k: "".join(f"<p>{'same' + str(i) if i % 3 == 0 else f'own {k} {i}'}</p>" for i in range(n))  # noqa: B023, E731
+        a, b = html_extract.parse(page(1)), html_extract.parse(page(2))
+        found = html_extract.matched(a, b)
+        assert len(found) == n and sum(equal for _, equal in found) == (n + 2) // 3
+
+
+def test_template_texts_stay_elsewhere(spark):
+    """A sentence of the article that is the template's text at another place is kept."""
+    html = lambda k: f"<body><div>Follow our news</div><article><p>text {k}</p>{'<p>Follow our news</p>' if k == 5 else ''}</article><section>Follow our news</section></body>".replace("<article>", "<div class=text>").replace("</article>", "</div>")
+    rows = [(k, f"http://a.example/{k}", html(k)) for k in range(30)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[5] == "text 5\nFollow our news" and found[6] == "text 6"
