@@ -60,8 +60,10 @@ def archived(pages: DataFrame, least: int = 0, date: str = DATE, id_col: str = "
     copies = firsts.where((F.col("n") > 1) & (F.col("size") >= least)).select("key", "first")
     chosen = narrow.join(copies, "key", "left").withColumn("revisits", F.coalesce(F.col("order").isNull() & F.col("first").isNotNull() | (F.col("order") != F.col("first")), F.lit(False)))
     # Payloads go to the place of their page and key, not of their key alone; only the first page's is there to be met.
-    stored = rows.select("key", F.col("order").cast("string").alias("at"), "payload", "size").join(firsts.select(F.col("key").alias("own"), F.col("first").cast("string").alias("first")), (F.col("key") == F.col("own")) & F.col("at").eqNullSafe(F.col("first")))
-    payloads = written(stored.dropDuplicates(["key"]).select("key", "payload", "size"), "payloads")
+    at = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    places = firsts.select("key", at("first").alias("at"))
+    stored = rows.select("key", at("order").alias("at"), "payload", "size").join(places, ["key", "at"])
+    payloads = written(stored.dropDuplicates(["key", "at"]).select("key", "payload", "size"), "payloads")
 
     kind = F.when(F.col("revisits"), "revisit").otherwise("response")
     head = F.concat(
