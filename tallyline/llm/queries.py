@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator with production parameters on its whole table."""
+"""The queries op1 to op13: each operator with production parameters on its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, lm_scoring, packing, quality, simhash, token_counts, toxicity, warc
+from . import decontam, divergence, html_extract, line_dedup, lm_scoring, packing, quality, resampling, simhash, token_counts, toxicity, warc, winnowing
 
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
@@ -72,8 +72,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"), least=30, most=50)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least=20, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compared(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op7_line_dedup, op8_warc, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_scoring, op4_toxicity, op5_quality, op6_html, op7_line_dedup, op8_warc, op9_decontamination, op10_simhash, op11_divergence, op12_resampling, op13_fingerprints)}
 
 
 #: Each base 32 digit is five bits of one of four runs of ten hex digits of the SHA-1.
@@ -82,5 +95,23 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string([substr('ABC
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to, TRUE AS verified FROM d"""
 
 
+#: Every group with every kept term of its lang, shares in 128-bit integers.
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found FROM documents),
+w AS (SELECT id, lang, source, unnest(found) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+langs AS (SELECT lang, sum(total) AS n, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM groups g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (s.size + 5 * l.v) AS p, 1 + (1000000000 * (k.total + 5)) // (l.n + 5 * l.v) AS q
+  FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op11_divergence": OP11_SQL}
