@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .reconcile import zero
@@ -26,11 +29,20 @@ def extraction_confidence(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("confidence", points)
 
 
-def period_guard(ledger: DataFrame, periods: DataFrame) -> DataFrame:
-    """Rows within the statement's printed period (statement_id, first_day, last_day); all rows where none is printed."""
+def _in_period(ledger: DataFrame, periods: DataFrame) -> DataFrame:
     rows = ledger.join(periods, "statement_id", "left")
     inside = F.col("first_day").isNull() | F.col("last_day").isNull() | F.col("date").isNull() | F.col("date").between(F.col("first_day"), F.col("last_day"))
-    return rows.where(inside).drop("first_day", "last_day")
+    return rows.withColumn("inside", inside).drop("first_day", "last_day")
+
+
+def period_guard(ledger: DataFrame, periods: DataFrame) -> DataFrame:
+    """Rows within the statement's printed period (statement_id, first_day, last_day); all rows where none is printed."""
+    return _in_period(ledger, periods).where("inside").drop("inside")
+
+
+def period_removed(ledger: DataFrame, periods: DataFrame) -> DataFrame:
+    """(statement_id, removed) rows of each statement that its printed period leaves out."""
+    return _in_period(ledger, periods).groupBy("statement_id").agg(F.count_if(~F.col("inside")).alias("removed"))
 
 
 def kpis(enriched: DataFrame) -> DataFrame:
@@ -40,12 +52,54 @@ def kpis(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("statement_id").agg(F.count("*").alias("n_rows"), total("credit").alias("credits"), total("debit").alias("debits"), flagged.alias("flagged"), F.floor(100 * flagged / F.count("*")).alias("flagged_percent"))
 
 
-def summary(ledger: DataFrame, rates: DataFrame) -> DataFrame:
-    """The executive figures of each statement, a row each, from a ledger and its recovery rates."""
-    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(18,2)")), F.lit(0)).cast("double")
-    base = ledger.groupBy("statement_id").agg(F.count("*").cast("double").alias("rows"), total("credit").alias("credits"), total("debit").alias("debits"), F.countDistinct("date").cast("double").alias("days"))
-    out = base.join(rates.select("statement_id", F.col("mismatches").cast("double").alias("mismatches"), F.col("gaps").cast("double").alias("gaps")), "statement_id")
-    return out.unpivot("statement_id", [c for c in out.columns if c != "statement_id"], "metric", "value")
+# The executive figures, in order.
+SUMMARY = ("Source", "Period", "Transactions", "Total Credits", "Total Debits", "Net Flow", "Review", "Critical", "Balance Mismatches", "Balance Evidence Gaps")
+
+
+def summary(enriched: DataFrame, rates: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(statement_id, place, metric, value, value_text): the ten executive figures of each statement, from its enriched rows and
+    its recovery rates; sources: (statement_id, source_type, location), where they came from, else dashes."""
+    total = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(18,2)")), F.lit(0)).cast("decimal(28,2)")
+    base = enriched.groupBy("statement_id").agg(F.count("*").alias("all"), total("credit").alias("c"), total("debit").alias("d"), F.count_if(F.col("priority") == "REVIEW").alias("review"), F.count_if(F.col("priority") == "CRITICAL").alias("critical"))
+    out = base.join(rates.select("statement_id", "mismatches", "gaps"), "statement_id")
+    if sources is not None:
+        out = out.join(sources.select("statement_id", "source_type", "location"), "statement_id", "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit("-")) if sources is not None else F.lit("-")
+    none, number = F.lit(None), lambda x: x.cast("double")
+    values = [none.cast("double")] * 2 + [number(x) for x in (F.col("all"), F.col("c"), F.col("d"), F.col("c") - F.col("d"), F.col("review"), F.col("critical"), F.col("mismatches"), F.col("gaps"))]
+    texts = [text("source_type"), text("location")] + [none.cast("string")] * 8
+    cells = F.array(*(F.struct(F.lit(k + 1).alias("place"), F.lit(name).alias("metric"), values[k].alias("value"), texts[k].alias("value_text")) for k, name in enumerate(SUMMARY)))
+    return out.select("statement_id", F.inline(cells))
+
+
+def report_profile(profile: DataFrame, by: str, most: int = 20) -> DataFrame:
+    """The rows of a profile with the most transactions, for a report; ties by name."""
+    return profile.orderBy(F.desc("n_rows"), F.asc_nulls_first(by)).limit(most)
+
+
+def first_rows(rows: DataFrame, most: int, *order: str, keys: tuple[str, ...] = ("statement_id",)) -> DataFrame:
+    """The first `most` rows of each statement in this order, with their place; what a page or a report shows."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def report_fund_flow(pairs: DataFrame, most: int = 40) -> DataFrame:
+    """The first onward movements of each statement for a report, in source order."""
+    return first_rows(pairs, most, "in_date", "in_seq", "out_seq", "debit")
+
+
+def assistant_context(master: DataFrame, flags: DataFrame, pairs: DataFrame, quality: DataFrame, flagged: int = 60, moved: int = 40) -> DataFrame:
+    """(statement_id, part, place, entry): what an assistant would be told of each statement, as JSON entries: all main
+    figures, the first flagged rows and onward movements, all counters of quality. Nothing is sent anywhere."""
+    parts = {"summary": master, "top_review_rows": first_rows(flags, flagged, "source_seq"), "fund_flow": report_fund_flow(pairs, moved), "data_quality": quality}
+    out = [rows.select("statement_id", F.lit(name).alias("part"), "place", F.to_json(F.struct(*(c for c in rows.columns if c not in ("statement_id", "place")))).alias("entry")) for name, rows in parts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def quick_summary(enriched: DataFrame, rates: DataFrame) -> DataFrame:
+    """The counters that stand in for an assistant's answer: rows, priorities, rapid movements and mismatches of each statement."""
+    counts = enriched.groupBy("statement_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("priority") == "REVIEW").alias("review"), F.count_if(F.col("priority") == "CRITICAL").alias("critical"), F.count_if("rapid").alias("rapid"))
+    return counts.join(rates.select("statement_id", "mismatches"), "statement_id")
 
 
 def provenance(ledger: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -126,18 +128,32 @@ def percentiles(ledger: DataFrame) -> DataFrame:
     return rows.groupBy("statement_id").agg(*(F.round(F.percentile("amount", F.lit(q / 100)), 4).alias(f"q{q}") for q in (95, 99)))
 
 
+# Reasons for a review.
+TOP_1, TOP_5, UNNAMED, ONWARD = "Top 1% by transaction amount", "Top 5% by transaction amount", "Payment rail not identified from narration", "Same/next-day large onward movement"
+
+
+def classified(ledger: DataFrame) -> DataFrame:
+    """Rows with identifiers apart from narrations, and rail, counterparty, category and particulars from both."""
+    narration, reference = T.cleaned_reference(F.col("narration"), F.col("reference"))
+    rows = ledger.withColumns({"narration": narration, "reference": reference})
+    rows = rows.withColumn("evidence", F.trim(F.concat_ws(" ", "narration", "reference")))
+    evidence = F.col("evidence")
+    return rows.withColumns({"rail": T.rail(evidence), "counterparty": T.counterparty(evidence), "category": T.category(evidence, F.col("debit"), F.col("credit")), "particulars": T.particulars(evidence, F.col("debit"), F.col("credit")), "amount": amount()}).drop("evidence")
+
+
 def enrich(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Rail, counterparty, category and particulars of each row, why it stands out and its priority."""
-    evidence = F.trim(F.concat_ws(" ", F.coalesce("narration", F.lit("")), F.coalesce("reference", F.lit(""))))
-    rows = ledger.withColumn("evidence", evidence).withColumns({"rail": T.rail(F.col("evidence")), "counterparty": T.counterparty(F.col("evidence")), "category": T.category(F.col("evidence"), F.col("debit"), F.col("credit")), "particulars": T.particulars(F.col("evidence"), F.col("debit"), F.col("credit")), "amount": amount()})
-    rows = rows.join(percentiles(ledger), "statement_id", "left")
+    """Rail, counterparty, category and particulars of each row, why it stands out and its priority.
+
+    q95 and q99, the statement's percentiles of positive amounts, stay as columns for what is counted by them later.
+    """
+    rows = classified(ledger).join(percentiles(ledger), "statement_id", "left")
     rapid = rapid_movement(ledger, t).select("statement_id", "source_seq").distinct().withColumn("is_rapid", F.lit(True))
     rows = rows.join(rapid, ["statement_id", "source_seq"], "left").withColumn("rapid", F.coalesce("is_rapid", F.lit(False))).drop("is_rapid")
-    top = F.when((F.col("amount") > 0) & (F.col("amount") >= F.col("q99")), "Top 1% amount").when((F.col("amount") > 0) & (F.col("amount") >= F.col("q95")), "Top 5% amount")
-    reasons = F.array_compact(F.array(top, F.when(F.col("rail") == T.NO_RAIL, "Unidentified rail"), F.when(F.col("rapid"), "Rapid movement")))
+    top = F.when((F.col("amount") > 0) & (F.col("amount") >= F.col("q99")), TOP_1).when((F.col("amount") > 0) & (F.col("amount") >= F.col("q95")), TOP_5)
+    reasons = F.array_compact(F.array(top, F.when(F.col("rail") == T.NO_RAIL, UNNAMED), F.when(F.col("rapid"), ONWARD)))
     critical = (F.col("amount") >= F.greatest(F.coalesce("q99", F.lit(0.0)), F.lit(t.critical_amount))) | F.col("rapid")
     rows = rows.withColumn("reason", F.array_join(reasons, "; "))
-    return rows.withColumn("priority", F.when(critical, "CRITICAL").when(F.col("reason") != "", "REVIEW").otherwise("NORMAL")).drop("evidence", "q95", "q99")
+    return rows.withColumn("priority", F.when(critical, "CRITICAL").when(F.col("reason") != "", "REVIEW").otherwise("NORMAL"))
 
 
 def flags(enriched: DataFrame) -> DataFrame:
@@ -156,52 +172,116 @@ def flow(enriched: DataFrame) -> DataFrame:
 
 
 def concentration(ledger: DataFrame) -> DataFrame:
-    """Sums, shares of the statement's totals, and period of each party."""
+    """Sums, shares and period of each party; place: by credits, then debits, largest first.
+
+    Shares are of what the statement's rows with a party add up to; 0 where that is nothing. Rows without a party count nowhere.
+    """
     rows = ledger.withColumn("party_key", T.party(F.col("party"))).where("party_key != ''")
-    by = rows.groupBy("statement_id", "party_key").agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(cents("credit")), F.lit(0)).alias("c"), F.coalesce(F.sum(cents("debit")), F.lit(0)).alias("d"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    share = lambda part, whole: F.round(F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0)), 6)
-    out = by.join(totals(ledger).select("statement_id", "credits", "debits"), "statement_id")
-    return out.select("statement_id", "party_key", "n_rows", F.col("c").cast("double").alias("party_credits"), F.col("d").cast("double").alias("party_debits"), share("c", "credits").alias("credit_share"), share("d", "debits").alias("debit_share"), (F.col("c") - F.col("d")).cast("double").alias("net"), "first_date", "last_date")
+    sums = lambda c: F.coalesce(F.sum(cents(c)), F.lit(0))
+    by = rows.groupBy("statement_id", "party_key").agg(F.count("*").alias("n_rows"), sums("credit").alias("c"), sums("debit").alias("d"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    whole = by.groupBy("statement_id").agg(F.sum("c").alias("credits"), F.sum("d").alias("debits"))
+    share = lambda part, all_: F.round(F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(all_).cast("double")), F.lit(0.0)), 6)
+    place = F.row_number().over(W.partitionBy("statement_id").orderBy(F.desc("c"), F.desc("d"), "party_key"))
+    return by.join(whole, "statement_id").select("statement_id", "party_key", "n_rows", F.col("c").cast("double").alias("party_credits"), F.col("d").cast("double").alias("party_debits"), share("c", "credits").alias("credit_share"), share("d", "debits").alias("debit_share"), (F.col("c") - F.col("d")).cast("double").alias("net"), "first_date", "last_date", place.alias("place"))
+
+
+# Counters of data quality and what they mean.
+QUALITY = {
+    "Rows extracted": "Total normalized transactions",
+    "Missing transaction date": "Date not extracted",
+    "Missing both debit and credit": "No monetary movement recorded",
+    "Missing reported balance": "Balance unavailable in source",
+    "Unidentified rail": "Classification limitation; not a fraud finding",
+    "Potential duplicate rows": "Requires source verification",
+    "Balance mismatches": "Sequential reconciliation",
+    "Balance evidence gaps": "Source-gap/reset points; no transaction fabricated",
+}
+
+
+def _tall(wide: DataFrame, names: list[str], name: str, **columns: Column) -> DataFrame:
+    """A row for each of names, with the columns that each of them is made of: lists in the order of names."""
+    cells = F.array(*(F.struct(F.lit(k + 1).alias("place"), F.lit(n).alias(name), *(v[k].alias(c) for c, v in columns.items())) for k, n in enumerate(names)))
+    return wide.select("statement_id", F.inline(cells))
 
 
 def data_quality(enriched: DataFrame) -> DataFrame:
-    """Counters of each statement, a row each."""
+    """Counters of each statement, a row each, in order."""
     checked = balance_check(enriched)
-    same = duplicates(enriched).groupBy("statement_id").agg(F.count("*").alias("duplicates"))
+    same = duplicates(enriched).groupBy("statement_id").agg(F.count("*").alias("same"))
     counts = checked.groupBy("statement_id").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("date").isNull()).alias("missing date"), F.count_if(amount() == 0).alias("no movement"),
-        F.count_if(F.col("balance").isNull()).alias("missing balance"), F.count_if(F.col("rail") == T.NO_RAIL).alias("unidentified"),
-        F.count_if(F.col("status") == "MISMATCH").alias("mismatches"), F.count_if("gap_explained").alias("gaps explained"),
-    ).join(same, "statement_id", "left").fillna(0, ["duplicates"])
-    return counts.unpivot("statement_id", [c for c in counts.columns if c != "statement_id"], "counter", "n")
+        F.count("*").alias("all"), F.count_if(F.col("date").isNull()).alias("undated"), F.count_if(amount() == 0).alias("still"),
+        F.count_if(F.col("balance").isNull()).alias("blank"), F.count_if(F.col("rail") == T.NO_RAIL).alias("unnamed"),
+        F.count_if(F.col("status") == "MISMATCH").alias("wrong"), F.count_if("gap_explained").alias("gaps"),
+    ).join(same, "statement_id", "left").fillna(0, ["same"])
+    values = [F.col(c) for c in ("all", "undated", "still", "blank", "unnamed", "same", "wrong", "gaps")]
+    return _tall(counts, list(QUALITY), "counter", n=values, meaning=[F.lit(m) for m in QUALITY.values()])
+
+
+# Areas of findings and what an investigator has to ask about each.
+QUESTIONS = {
+    "Fund trail": "Which source credit is followed by a near-equal debit, and what supporting invoice/loan/asset document explains the movement?",
+    "Circularity": "Do the near-equal inflow/outflow pairs represent genuine consideration or circular movement between related parties?",
+    "Dormant activation": "What changed immediately before the account became active after the long inactivity period?",
+    "Behaviour deviation": "Why do these transactions materially exceed the counterparty's normal observed transaction size?",
+    "Repeated fingerprint": "Are repeated transaction fingerprints genuine recurring payments or duplicate/constructed entries?",
+    "No bridge anomaly": "No configured bridge anomaly was identified; absence of a flag is not proof of absence of irregularity.",
+}
 
 
 def questions(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """What to ask about: a row for each kind of finding that has rows, or one that says there are none."""
-    kinds = [("Fund trail", bridge(ledger, t)), ("Circularity", circles(ledger, t)), ("Dormant activation", dormant(ledger, t)), ("Behaviour deviation", behaviour(ledger, t))]
-    counts = None
-    for name, found in kinds:
-        part = found.agg(F.count("*").alias("n")).select(F.lit(name).alias("area"), "n")
-        counts = part if counts is None else counts.unionByName(part)
-    none = counts.agg(F.sum("n").alias("n")).where("n = 0").select(F.lit("No bridge anomaly").alias("area"), "n")
-    return counts.where("n > 0").unionByName(none)
+    """What to ask about each statement: a row for each kind of finding that has rows, or one that says there are none."""
+    kinds = [bridge(ledger, t), circles(ledger, t), dormant(ledger, t), behaviour(ledger, t), fingerprints(ledger)]
+    counts = [found.groupBy("statement_id").agg(F.count("*").alias("n")).select("statement_id", F.lit(k).alias("k"), "n") for k, found in enumerate(kinds)]
+    every = ledger.select("statement_id").distinct().select("statement_id", F.lit(len(kinds)).alias("k"), F.lit(0).cast("long").alias("n"))
+    found = reduce(DataFrame.unionByName, counts)
+    none = every.join(found.select("statement_id").distinct(), "statement_id", "left_anti")
+    text = lambda words: F.element_at(F.array(*map(F.lit, words)), F.col("k") + 1)
+    return found.unionByName(none).select("statement_id", text(QUESTIONS).alias("area"), F.col("n").alias("cases"), text(QUESTIONS.values()).alias("question"))
+
+
+# The main findings, what each is based on, what it is for and its status if it says nothing else.
+MASTER = [
+    ("Transaction volume", "Entire evidence set", "Factual scope", "INFORMATIONAL"),
+    ("Period covered", "Transaction dates", "Coverage", "INFORMATIONAL"),
+    ("Total credits", "Credit column", "Funds received", "INFORMATIONAL"),
+    ("Total debits", "Debit column", "Funds paid/out", "INFORMATIONAL"),
+    ("Net flow", "Credits minus debits", "Aggregate flow", "INFORMATIONAL"),
+    ("Top 1% amount transactions", "Unavailable", "High-value review", "REVIEW"),
+    ("Top 5% amount transactions", "Unavailable", "High-value review", "REVIEW"),
+    ("Rapid same/next-day onward movements", "Credit followed by >=80% debit within 1 day", "Fund-flow review", "REVIEW"),
+    ("Large round-value transactions", ">= ₹50,000 and multiple of ₹10,000", "Pattern review", "REVIEW"),
+    ("High transaction-velocity rows", "15+ transactions on same date", "Activity-pattern review", "REVIEW"),
+    ("Potential duplicate rows", "Same date + narration + debit + credit", "Data-quality review", "REVIEW"),
+    ("Cash/ATM activity", "Payment rail classification", "Cash-flow review", "REVIEW"),
+    ("Unidentified payment rail", "Narration did not expose a known rail", "Data-quality only; not suspicious by itself", "DATA QUALITY"),
+    ("Balance mismatches", "Sequential balance reconciliation", "Evidence integrity", "CRITICAL"),
+]
 
 
 def master(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """The main figures of each statement, a row each, with their review status."""
-    rich = enrich(ledger, t).join(percentiles(ledger), "statement_id", "left")
+    """The main figures of each statement, a row each in order: value (of the period: text), basis, interpretation, status."""
+    rich = enrich(ledger, t)
     per_day = velocity(ledger, t).groupBy("statement_id").agg(F.count("*").alias("velocity"))
-    same = duplicates(ledger).groupBy("statement_id").agg(F.count("*").alias("duplicates"))
-    wrong = balance_check(ledger).groupBy("statement_id").agg(F.count_if(F.col("status") == "MISMATCH").alias("mismatches"))
+    same = duplicates(ledger).groupBy("statement_id").agg(F.count("*").alias("same"))
+    wrong = balance_check(ledger).groupBy("statement_id").agg(F.count_if(F.col("status") == "MISMATCH").alias("wrong"))
     is_round = (amount() >= t.round_amount) & (F.pmod(cents(amount()), F.lit(t.round_step).cast("decimal(18,2)")) == 0)
+    total = lambda c: F.coalesce(F.sum(cents(c)), F.lit(0))
     base = rich.groupBy("statement_id").agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(cents("credit")), F.lit(0)).cast("double").alias("credits"), F.coalesce(F.sum(cents("debit")), F.lit(0)).cast("double").alias("debits"),
-        F.count_if((F.col("amount") > 0) & (F.col("amount") >= F.col("q99"))).alias("top 1%"), F.count_if((F.col("amount") > 0) & (F.col("amount") >= F.col("q95"))).alias("top 5%"),
-        F.count_if("rapid").alias("rapid"), F.count_if(is_round).alias("round values"), F.count_if(F.col("rail") == "ATM/CASH").alias("cash"), F.count_if(F.col("rail") == T.NO_RAIL).alias("unidentified"),
+        F.count("*").alias("all"), total("credit").alias("credits"), total("debit").alias("debits"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.first("q95").alias("q95"), F.first("q99").alias("q99"),
+        F.count_if(F.col("amount") >= F.col("q99")).alias("top1"), F.count_if(F.col("amount") >= F.col("q95")).alias("top5"),
+        F.count_if("rapid").alias("rapid"), F.count_if(is_round).alias("round"), F.count_if(F.col("rail") == "ATM/CASH").alias("cash"), F.count_if(F.col("rail") == T.NO_RAIL).alias("unnamed"),
     )
     for part in (per_day, same, wrong):
         base = base.join(part, "statement_id", "left")
-    names = [c for c in base.columns if c != "statement_id"]
-    wide = base.select("statement_id", *(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in names))
-    status = F.when(F.col("finding").isin("rows", "credits", "debits"), "INFORMATIONAL").when((F.col("finding") == "mismatches") & (F.col("value") > 0), "CRITICAL").when(F.col("value") > 0, "REVIEW").otherwise("PASS")
-    return wide.unpivot("statement_id", names, "finding", "value").withColumn("status", status)
+    day = lambda c: F.coalesce(F.date_format(c, "dd-MM-yyyy"), F.lit("-"))
+    order = ("all", None, "credits", "debits", None, "top1", "top5", "rapid", "round", "velocity", "same", "cash", "unnamed", "wrong")
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c else F.lit(None).cast("double") for c in order]
+    values[4] = (F.col("credits") - F.col("debits")).cast("double")
+    texts = [F.lit(None).cast("string") for _ in MASTER]
+    texts[1] = F.concat(day("first_date"), F.lit(" to "), day("last_date"))
+    basis = [F.lit(b) for _, b, _, _ in MASTER]
+    for k, q in ((5, "q99"), (6, "q95")):
+        basis[k] = F.when(F.col(q).isNull(), basis[k]).otherwise(F.concat(F.lit("Threshold ₹"), F.format_number(q, 2)))
+    status = [F.lit(s) for *_, s in MASTER]
+    status[13] = F.when(values[13] > 0, "CRITICAL").otherwise("PASS")
+    return _tall(base, [m[0] for m in MASTER], "finding", value=values, value_text=texts, basis=basis, interpretation=[F.lit(i) for _, _, i, _ in MASTER], status=status)

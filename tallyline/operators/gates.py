@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .findings import cents
-from .reconcile import balance_check, date_reversals, zero
+from .reconcile import balance_check, runs_back, zero
 
 
-def integrity(ledger: DataFrame) -> DataFrame:
-    """Counts of violations of each statement and whether it passes."""
-    has = F.col("debit").isNotNull() | F.col("credit").isNotNull()
-    both = (zero("debit") > 0) & (zero("credit") > 0)
-    out = balance_check(ledger).groupBy("statement_id").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("date").isNull()).alias("undated"), F.count_if(both).alias("dual_sided"),
-        F.count_if((zero("debit") < 0) | (zero("credit") < 0)).alias("negative"), F.count_if(has).alias("moved"), F.count_if(F.col("status") == "MISMATCH").alias("mismatches"),
-    ).join(date_reversals(ledger), "statement_id")
+def _odd(name: str) -> Column:
+    return F.coalesce(F.isnan(name) | (F.abs(name) == float("inf")), F.lit(False))
+
+
+def integrity_counts() -> list[Column]:
+    """Aggregates of the rows of `balance_check` (with `back`: the date lies before that of the row above) that `broken_rule` looks at.
+
+    A row is dual-sided if both sides are present, whatever their amounts; infinite amounts and NaN are not finite.
+    """
+    has, both = F.col("debit").isNotNull() | F.col("credit").isNotNull(), F.col("debit").isNotNull() & F.col("credit").isNotNull()
+    found = {
+        "undated": F.col("date").isNull(), "dual_sided": both, "non_finite": _odd("debit") | _odd("credit") | _odd("balance"), "negative": (zero("debit") < 0) | (zero("credit") < 0),
+        "moved": has, "unmatched": F.col("status") == "MISMATCH", "reversed": F.col("back"),
+    }
+    return [F.count_if(c).alias(name) for name, c in found.items()]
+
+
+def broken_rule() -> Column:
+    """The first rule that a statement of n_rows with these counts breaks; empty for none."""
     limit = F.greatest(F.lit(2), F.floor(F.col("n_rows") * 0.02))
-    good = (F.col("undated") == 0) & (F.col("dual_sided") == 0) & (F.col("negative") == 0) & (F.col("moved") >= 0.9 * F.col("n_rows")) & (F.col("reversals") <= limit) & (F.col("mismatches") == 0)
-    return out.withColumn("passed", good)
+    return (
+        F.when(F.col("undated") > 0, "undated rows").when(F.col("dual_sided") > 0, "both sides in a row").when(F.col("non_finite") > 0, "amounts that are not finite").when(F.col("negative") > 0, "negative amounts")
+        .when(F.col("moved") < 0.9 * F.col("n_rows"), "movements missing").when(F.col("reversed") > limit, "dates run backwards").when(F.col("unmatched") > 0, "balances do not follow").otherwise("")
+    )
+
+
+def integrity(ledger: DataFrame) -> DataFrame:
+    """Counts of violations of each statement, the first rule that it breaks (reason, empty for none) and whether it passes."""
+    rows = balance_check(ledger).withColumn("back", runs_back())
+    out = rows.groupBy("statement_id").agg(F.count("*").alias("n_rows"), *integrity_counts()).withColumn("reason", broken_rule())
+    return out.withColumnsRenamed({"unmatched": "mismatches", "reversed": "reversals"}).withColumn("passed", F.col("reason") == "")
+
+
+def anchor(first: Column, opening: Column, tolerance: float = 0.01) -> dict[str, Column]:
+    """What a first row (struct of debit, credit, balance) says of a printed opening balance: the balance expected of it, the
+    difference, what to make of it, and how far that may be relied on: 1 if it is verified or there is nothing to verify, else 0."""
+    move = F.coalesce(first["credit"], F.lit(0.0)) - F.coalesce(first["debit"], F.lit(0.0))
+    known = first["balance"].isNotNull() & (first["debit"].isNotNull() | first["credit"].isNotNull())
+    difference = F.round(first["balance"] - (opening + move), 2)
+    status = F.when(opening.isNull(), "NOT_PRESENT").when(~known, "AMBIGUOUS").when(F.abs(difference) <= tolerance, "VERIFIED").otherwise("CONFLICTING")
+    return {"expected": F.when(known, F.round(opening + move, 2)), "difference": F.when(known, difference), "status": status, "confidence": F.when(status.isin("VERIFIED", "NOT_PRESENT"), 1.0).otherwise(0.0)}
 
 
 def opening_anchor(ledger: DataFrame, opening: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Whether the first row follows from a printed opening balance (statement_id, opening, source); with what to make of it."""
+    """Whether the first row follows from a printed opening balance (statement_id, opening, source): see `anchor`."""
     first = ledger.groupBy("statement_id").agg(F.min_by(F.struct("debit", "credit", "balance"), "source_seq").alias("f"))
-    out = first.join(opening, "statement_id", "left")
-    move = F.coalesce("f.credit", F.lit(0.0)) - F.coalesce("f.debit", F.lit(0.0))
-    difference = F.round(F.col("f.balance") - (F.col("opening") + move), 2)
-    known = F.col("f.balance").isNotNull() & (F.col("f.debit").isNotNull() | F.col("f.credit").isNotNull())
-    status = F.when(F.col("opening").isNull(), "NOT_PRESENT").when(~known, "AMBIGUOUS").when(F.abs(difference) <= tolerance, "VERIFIED").otherwise("CONFLICTING")
-    return out.select("statement_id", "opening", "source", F.when(known, difference).alias("difference"), status.alias("status"))
+    out = first.join(opening, "statement_id", "left").withColumns(anchor(F.col("f"), F.col("opening"), tolerance))
+    return out.select("statement_id", "opening", "source", "expected", "difference", "status", "confidence")
 
 
 def anchor_policy(anchors: DataFrame, rates: DataFrame) -> DataFrame:
@@ -41,11 +69,21 @@ def anchor_policy(anchors: DataFrame, rates: DataFrame) -> DataFrame:
     return anchors.join(rates, "statement_id").withColumn("accepted", accept)
 
 
+def own_totals() -> list[Column]:
+    """Aggregates of a ledger that its printed summary is compared with: debits, credits, last_balance."""
+    total = lambda c: F.coalesce(F.sum(cents(c)), F.lit(0)).cast("double")
+    return [total("debit").alias("debits"), total("credit").alias("credits"), F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("source_seq"))).alias("last_balance")]
+
+
+def agrees(tolerance: float = 0.01) -> Column:
+    """Whether own totals are those of a printed summary (withdrawal, deposit, closing)."""
+    pairs = (("debits", "withdrawal"), ("credits", "deposit"), ("last_balance", "closing"))
+    return F.coalesce(reduce(lambda a, b: a & b, (F.abs(F.col(x) - F.col(y)) <= tolerance for x, y in pairs)), F.lit(False))
+
+
 def summary_anchor(ledger: DataFrame, summary: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Whether sums and the last balance agree with a printed summary (statement_id, withdrawal, deposit, closing)."""
-    own = ledger.groupBy("statement_id").agg(F.coalesce(F.sum(cents("debit")), F.lit(0)).cast("double").alias("debits"), F.coalesce(F.sum(cents("credit")), F.lit(0)).cast("double").alias("credits"), F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("source_seq"))).alias("last_balance"))
-    agree = (F.abs(F.col("debits") - F.col("withdrawal")) <= tolerance) & (F.abs(F.col("credits") - F.col("deposit")) <= tolerance) & (F.abs(F.col("last_balance") - F.col("closing")) <= tolerance)
-    return own.join(summary, "statement_id").withColumn("matched", F.coalesce(agree, F.lit(False)))
+    return ledger.groupBy("statement_id").agg(*own_totals()).join(summary, "statement_id").withColumn("matched", agrees(tolerance))
 
 
 def recovery_rates(ledger: DataFrame) -> DataFrame:

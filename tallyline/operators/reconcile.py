@@ -70,12 +70,22 @@ def _flipped(rows: DataFrame, before: Column, tolerance: float) -> DataFrame:
     return rows.withColumns({"debit": F.when(flip, F.col("credit")).otherwise(F.col("debit")), "credit": F.when(flip, F.col("debit")).otherwise(F.col("credit")), "flipped": flip})
 
 
-def repair_side(ledger: DataFrame, tolerance: float = 0.01, opening: DataFrame | None = None) -> DataFrame:
-    """Sides that the last printed balance proves; with opening (statement_id, opening) also for the first rows."""
+def repair_side(ledger: DataFrame, tolerance: float = 0.01, opening: DataFrame | None = None, fill: bool = False) -> DataFrame:
+    """Sides that the last printed balance proves; with opening (statement_id, opening) also for the first rows.
+
+    fill: where both sides are missing, the change from the last printed balance (or the opening) to the row's own is its
+    amount; off by default, for such an amount is printed nowhere. Rows tell by `flipped` and `filled` what happened.
+    """
     rows = ledger.withColumn("before", F.last("balance", ignorenulls=True).over(in_order().rowsBetween(W.unboundedPreceding, -1)))
     if opening is not None:
         rows = rows.join(opening, "statement_id", "left").withColumn("before", F.coalesce("before", "opening")).drop("opening")
-    return _flipped(rows, F.col("before"), tolerance).drop("before")
+    rows = _flipped(rows, F.col("before"), tolerance)
+    change = F.round(F.col("balance") - F.col("before"), 2)
+    none = F.col("debit").isNull() & F.col("credit").isNull()
+    filled = F.coalesce(none & (F.abs(change) > tolerance), F.lit(False)) if fill else F.lit(False)
+    rows = rows.withColumns({"filled": filled, "change": change})
+    side = lambda c, sign: F.when(F.col("filled") & (F.col("change") * sign > 0), F.abs("change")).otherwise(F.col(c))
+    return rows.withColumns({"debit": side("debit", -1), "credit": side("credit", 1)}).drop("before", "change")
 
 
 def repair_movement(ledger: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -90,7 +100,11 @@ def repair_movement(ledger: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return rows.withColumns({"debit": F.when(found & (change < 0), amount).otherwise(F.col("debit")), "credit": F.when(found & (change > 0), amount).otherwise(F.col("credit")), "filled": found}).drop("before")
 
 
+def runs_back() -> Column:
+    """Whether a row's date lies before that of the row before; false without dates."""
+    return F.coalesce(F.datediff("date", F.lag("date").over(in_order())) < 0, F.lit(False))
+
+
 def date_reversals(ledger: DataFrame) -> DataFrame:
     """Per statement how often a date lies before that of the row before."""
-    back = F.datediff("date", F.lag("date").over(in_order())) < 0
-    return ledger.withColumn("back", back).groupBy("statement_id").agg(F.count_if("back").alias("reversals"))
+    return ledger.withColumn("back", runs_back()).groupBy("statement_id").agg(F.count_if("back").alias("reversals"))

@@ -45,9 +45,9 @@ def picked(cells: DataFrame, head: DataFrame) -> DataFrame:
     return found.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*SHEET, "header_row", "target", "col", "combined")
 
 
-def standardize(cells: DataFrame) -> DataFrame:
-    """Ledger rows of all sheets; sheets without a header are left out (see `headers`); the physical row is kept."""
-    columns = picked(cells, headers(cells))
+def standardize(cells: DataFrame, head: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of all sheets; sheets without a header (by `headers`, or in head) are left out; the physical row is kept."""
+    columns = picked(cells, headers(cells) if head is None else head)
     body = cells.join(columns, [*SHEET, "col"]).where(F.col("row") > F.col("header_row"))
     # An amount of a combined column belongs to the side that DR or CR at its end names.
     side = F.when(F.col("target") == "debit", F.upper("value").rlike(r"DR\s*\)?\s*$")).otherwise(F.upper("value").rlike(r"CR\s*\)?\s*$"))
@@ -59,6 +59,37 @@ def standardize(cells: DataFrame) -> DataFrame:
     return out.select("statement_id", F.col("row").cast("long").alias("source_seq"), F.col("sheet").alias("source_sheet"), "date", F.coalesce("narration", F.lit("")).alias("narration"), "reference", "debit", "credit", "balance")
 
 
+# Words that a table's header row is known by.
+TABLE_TERMS = ("date", "description", "narration", "debit", "credit", "withdrawal", "deposit", "balance")
+
+
+def standardize_tables(tables: DataFrame, within: int = 8, least: int = 3) -> DataFrame:
+    """Ledger rows of tables(statement_id, page, table_no, row, cells: array) whose rows may be of any length.
+
+    A table's header is the first of its first rows whose text holds the most terms, three at least; tables without one are
+    left out, rows above it too. Rows are padded with blanks or cut to the header's length. Null cells are blanks, rows
+    without cells are none, and don't count among the first ones. Rows of a page are numbered by table and row.
+    """
+    from ..operators.layout import terms_of
+
+    key = ["statement_id", "page", "table_no"]
+    clean = F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit("")))
+    rows = tables.where(F.size("cells") > 0).select(*key, "row", clean.alias("cells"))
+    joined = F.array_join(F.transform("cells", T.norm), " ")
+    w = W.partitionBy(*key).orderBy("row")
+    scored = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= within).withColumn("score", terms_of(joined, TABLE_TERMS)).where(F.col("score") >= least)
+    best = F.max_by(F.struct(F.col("row").alias("header_row"), F.size("cells").alias("size")), F.struct("score", -F.col("row")))
+    heads = scored.groupBy(*key).agg(best.alias("h")).select(*key, "h.*")
+    under = rows.join(heads, key).where(F.col("row") >= F.col("header_row"))
+    fitted = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("size") - F.size("cells")))), F.lit(1), F.col("size"))
+    sheet = F.concat_ws("/", F.col("page").cast("string"), F.col("table_no").cast("string")).alias("sheet")
+    cells = under.select("statement_id", sheet, "row", F.posexplode(fitted).alias("col", "value"))
+    out = standardize(cells, heads.select("statement_id", sheet, "header_row"))
+    place = lambda k: F.split("source_sheet", "/")[k].cast("long")
+    seq = place(0) * 1_000_000_000 + place(1) * 1_000_000 + F.col("source_seq")
+    return out.withColumns({"source_page": place(0).cast("int"), "source_row": F.col("source_seq"), "source_seq": seq})
+
+
 def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of CSV files; a file is a statement. Rows keep their order within a file."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("statement_id"), F.col("value").alias("body"))

@@ -17,7 +17,7 @@ def total(rows, opening, closing, swaps):
         if balance is None:
             score, before = score + 1, None if before is None else before + move
             continue
-        off = None if before is None else abs(balance - before - move)
+        off = None if before is None or (debit is None and credit is None) else abs(balance - before - move)
         score += -1 if off is None else 45 if off <= 0.01 else -min(80, 5 + off / 1000)
         before = balance
     known = [r for r in rows if r[2] is not None]
@@ -38,6 +38,8 @@ def statements():
             balance += -amount if debit else amount
             wrong = r.random() < 0.3
             sides = (amount, None) if debit != wrong else (None, amount)
+            if r.random() < 0.1:
+                sides = (None, None)
             rows.append([seq, datetime.date(2024, 1, 1 + (n - seq if k % 5 == 0 else seq)), *sides, None if k % 2 and r.random() < 0.4 else balance])
         if k % 7 == 0:
             rows = [[n - 1 - x[0], *x[1:]] for x in rows]
@@ -77,3 +79,48 @@ def test_closing_decides_the_order(spark):
     rows = [("a", 0, day, None, 10.0, 110.0, None, 100.0), ("a", 1, day, None, None, 100.0, None, 100.0)]
     assert {x["order"] for x in solver.solve(spark.createDataFrame(rows, SCHEMA)).collect()} == {"source"}
     assert solver.solve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_without_sides_prove_nothing():
+    """A row without an amount scores -1 where its balance is printed, whatever came before."""
+    assert solver.beam([(None, None, 100.0)], 100.0) == (-1.0, [False])
+    assert solver.beam([(None, None, None), (None, 5.0, 105.0)], 100.0) == (46.0, [False, False])
+
+
+def test_wrong_side_is_found_from_the_balance(spark):
+    import datetime
+
+    day = datetime.date(2025, 1, 1)
+    rows = [("a", 0, day, 100.0, None, 900.0, 1000.0, 1200.0), ("a", 1, day, None, 200.0, 700.0, 1000.0, 1200.0), ("a", 2, day, None, 500.0, 1200.0, 1000.0, 1200.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [(r["source_seq"], r["swapped"], r["order"]) for r in solver.solve(df).orderBy("source_seq").collect()] == [(0, False, "source"), (1, True, "source"), (2, False, "source")]
+    sides = [(r["debit"], r["credit"]) for r in solver.solve_printed(df).orderBy("source_seq").collect()]
+    assert sides == [(100.0, None), (200.0, None), (None, 500.0)]
+
+
+def test_only_runs_are_searched(spark, monkeypatch):
+    """A long statement with a missing balance now and then: the longest array that the search gets is a run."""
+    import datetime
+
+    balance, rows = 1000.0, []
+    for k in range(400):
+        amount, debit = 10.0 + k, k % 3 == 0
+        balance += -amount if debit else amount
+        shown = None if k % 10 in (3, 4) else balance
+        wrong = k % 10 == 4
+        rows.append(("a", k, datetime.date(2024, 1, 1) + datetime.timedelta(days=k), *((amount, None) if debit != wrong else (None, amount)), shown, 1000.0, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    open_runs = solver._variants(df).where("run_ends and run_rows > 1 and before is not null").groupBy("variant", "run").count()
+    assert open_runs.agg({"count": "max"}).first()[0] == 3
+    got = {r["source_seq"]: r["swapped"] for r in solver.solve(df).collect()}
+    assert got == {k: k % 10 == 4 for k in range(400)}
+
+
+def test_runs_without_proof_keep_their_sides(spark):
+    """No balance before, or none behind: nothing is swapped."""
+    import datetime
+
+    day = datetime.date(2024, 1, 1)
+    rows = [("a", 0, day, 5.0, None, None, None, None), ("a", 1, day, 7.0, None, 100.0, None, None), ("a", 2, day, None, 3.0, None, None, None), ("b", 0, day, 1.0, None, None, 9.0, None)]
+    found = solver.solve(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == 4 and not any(r["swapped"] for r in found)
