@@ -134,12 +134,17 @@ def beam(rows: list[tuple], opening: float | None, closing: float | None = None,
     return score, swaps[::-1]
 
 
-def solve(ledger: DataFrame, opening: DataFrame | None = None, closing: DataFrame | None = None, width: int = 512, tolerance: float = 0.01) -> DataFrame:
-    """(statement_id, source_seq, swapped, score, order) of all rows, in each statement's best order."""
+def solve(ledger: DataFrame, opening: DataFrame | None = None, closing: DataFrame | None = None, width: int = 512, tolerance: float = 0.01, least: int = 2) -> DataFrame:
+    """(statement_id, source_seq, swapped, score, order) of all rows, in each statement's best order; runs of `least` rows or more are searched."""
     rows = _with(ledger, opening=opening, closing=closing).select("statement_id", "source_seq", "date", "debit", "credit", "balance", "opening", "closing")
     rows = _variants(rows)
-    open_ = F.col("run_ends") & (F.col("run_rows") > 1) & F.col("before").isNotNull()
+    open_ = F.col("run_ends") & (F.col("run_rows") >= least) & F.col("before").isNotNull()
     columns = ("statement_id", "source_seq", "variant", "place", "balance", "closing", "swapped", "points")
     own = _local(rows.where(~open_), tolerance).select(*columns)
     found = _searched(rows.where(open_), width, tolerance).select(*columns)
     return _best(own.unionByName(found), tolerance).select("statement_id", "source_seq", "swapped", "score", "order")
+
+
+def solve_missing(ledger: DataFrame, width: int = 512) -> DataFrame:
+    """`solve` by search alone, of single rows as well; what the windows of `solve` must agree with."""
+    return solve(ledger, width=width, least=1)

@@ -34,9 +34,11 @@ PARTY = "trim(regexp_replace(regexp_replace(upper(party), '[^A-Z0-9 ]', ' ', 'g'
 
 
 def pairs_sql(least_in: float, least_out: float, days: int, also: str) -> str:
-    return f"""WITH {L.FLOWS_SQL}, c AS (SELECT statement_id, source_seq AS in_seq, date AS in_date, credit, {PARTY} AS in_party {CREDITS.format(least_in)}),
-d AS (SELECT statement_id AS sid, source_seq AS out_seq, date AS out_date, debit, {PARTY} AS out_party {DEBITS.format(least_out)}),
-pairs AS (SELECT * FROM c JOIN d ON sid = statement_id AND out_date BETWEEN in_date AND in_date + {days} AND {also})"""
+    """Pairs by equality of statement and bucket of days; a credit is in the bucket of its date and the one after."""
+    bucket = f"(date - DATE '1970-01-01') // {days + 1}"
+    return f"""WITH {L.FLOWS_SQL}, c AS (SELECT statement_id, source_seq AS in_seq, date AS in_date, credit, {PARTY} AS in_party, unnest([{bucket}, {bucket} + 1]) AS in_bucket {CREDITS.format(least_in)}),
+d AS (SELECT statement_id AS sid, source_seq AS out_seq, date AS out_date, debit, {PARTY} AS out_party, {bucket} AS out_bucket {DEBITS.format(least_out)}),
+pairs AS (SELECT * FROM c JOIN d ON sid = statement_id AND out_bucket = in_bucket AND out_date BETWEEN in_date AND in_date + {days} AND {also})"""
 
 
 FLOW_SQL = pairs_sql(100_000, 80_000, 1, "debit >= 0.8 * credit")
