@@ -13,9 +13,10 @@ compares one measure with a cutoff, above which a text is rejected.
 - The risk is that of the method's rules over all labelled good texts, those that the base rules reject among them.
 
 Strata are chosen and tested in a task each, from counts by rule and cutoff, and their cutoffs are joined to the rows.
-Very long texts are measured whole, in memory linear in their length. Null text has no words; null languages are a
-stratum of their own; null labels don't count, of repeated labels the largest does. An empty table gives an
-empty result, repeated rows a row each; other columns are not read.
+Very long texts are measured whole, in memory linear in their length. Null text has no words; null languages and
+empty ones are one stratum; null labels don't count, of repeated labels the largest does. A labelled document is one trial of a
+test however often its row is repeated; of unlike rows of one id that with the least stratum and measures counts. An empty
+table gives an empty result, repeated rows a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -160,8 +161,9 @@ def fitted(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     """(stratum, chosen: its rules and cutoffs) from the labelled rows of a table of measures; strata without any have no row."""
     names = list(grids())
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("qr_id")).agg(F.max(F.col(label_col) > 0).alias("good"))
-    known = rows.join(marked, rows[id_col] == F.col("qr_id")).withColumn("half", F.pmod(F.xxhash64("qr_id"), F.lit(2)))
-    known = written(known.select("stratum", "good", "half", *NAMES), "labelled")
+    # Repeated rows aren't independent trials, so each labelled id has one.
+    one = rows.join(marked, rows[id_col] == F.col("qr_id")).groupBy("qr_id").agg(F.first("good").alias("good"), F.min(F.struct("stratum", *NAMES)).alias("row"))
+    known = written(one.select("row.*", "good", F.pmod(F.xxhash64("qr_id"), F.lit(2)).alias("half")).select("stratum", "good", "half", *NAMES), "labelled")
     below = lambda measure, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda x: x < measure))
     bins = [F.struct(F.lit(k).alias("rule"), below(*x).alias("bin")) for k, x in enumerate(rules().values())]
     # A row's bin is the number of cutoffs below its measure, so it is above cutoff b if its bin is larger than b.

@@ -128,6 +128,18 @@ def test_only_certified_rules_are_used():
     assert quality.certified({"en": {True: [0], False: [9]}}, {"en": {True: 20, False: 9}}, 0.03, 0.05) == {}
 
 
+def test_repeated_rows_are_one_trial(spark):
+    """Few good documents prove nothing, however often their rows are repeated; and rows don't move the cutoffs of others."""
+    def kept(good, copies):
+        rows_ = [(k, text(k, 100), "en") for k in range(good)] * copies + [(k, " ".join(f"{w}###" for w in text(k, 100).split()), "en") for k in range(900, 1200)]
+        docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(k, int(k < 900)) for k in [*range(good), *range(900, 1200)]], "doc_id long, quality int")
+        return {r["doc_id"] for r in quality.judged(docs, labels).where("kept").collect()}
+
+    assert kept(20, 1) == kept(20, 50) == {*range(20), *range(900, 1200)}
+    assert kept(900, 1) == kept(900, 3) == set(range(900))
+
+
 def test_rules_cut_bad_texts(spark):
     good = [(k, text(k, 100), "en") for k in range(900)]
     bad = [(k, " ".join(f"{w}###" for w in text(k, 100).split()), "en") for k in range(900, 1200)]
