@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import DEFAULT, Thresholds
-from .joins import days_join
+from .joins import Band, days_join
+from .quantiles import quantiles
 from .reconcile import balance_check, zero
 
 
@@ -48,8 +49,7 @@ def rapid_movement(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 def bridge(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """A credit and a debit of about its amount within days, with a score."""
     credits, debits = _sides(ledger, t.bridge_amount)
-    near = F.col("debit").between(F.col("credit") * (1 - t.bridge_share), F.col("credit") * (1 + t.bridge_share))
-    pairs = days_join(credits, debits, ["statement_id"], "in_date", "out_date", t.bridge_days, near)
+    pairs = days_join(credits, debits, ["statement_id"], "in_date", "out_date", t.bridge_days, band=Band("credit", "debit", 1 - t.bridge_share, 1 + t.bridge_share))
     ratio, days = F.col("debit") / F.col("credit"), F.datediff("out_date", "in_date")
     score = F.when(F.abs(ratio - 1) <= 0.01, 40).when(F.abs(ratio - 1) <= 0.03, 25).otherwise(0) + F.when(days <= 1, 30).otherwise(15)
     score = score + F.when((F.col("in_party") != "") & (F.col("in_party") == F.col("out_party")), 20).otherwise(0)
@@ -68,7 +68,9 @@ def circles(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     credits, debits = _sides(ledger, t.bridge_amount)
     ratio = F.col("debit") / F.col("credit")
     also = (F.col("in_party") == F.col("out_party")) & (F.col("in_party") != "") & ratio.between(t.circle_low, t.circle_high)
-    return days_join(credits, debits, ["statement_id"], "in_date", "out_date", t.bridge_days, also).withColumn("ratio", F.round(ratio, 4)).distinct()
+    # The quotient decides; the band only deals amounts out, a little wider for what its products round away.
+    band = Band("credit", "debit", t.circle_low - 1e-9, t.circle_high + 1e-9)
+    return days_join(credits, debits, ["statement_id"], "in_date", "out_date", t.bridge_days, also, band).withColumn("ratio", F.round(ratio, 4)).distinct()
 
 
 def dormant(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -81,7 +83,7 @@ def dormant(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 def behaviour(ledger: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Rows of several times the party's median amount."""
     rows = ledger.withColumns({"party_key": T.party(F.col("party")), "amount": amount()}).where((F.col("amount") > 0) & (F.col("party_key") != ""))
-    base = rows.groupBy("statement_id", "party_key").agg(F.median("amount").alias("median_amount"), F.count("*").alias("party_rows")).where(F.col("party_rows") >= t.behaviour_rows)
+    base = quantiles(rows, ["statement_id", "party_key"], "amount", {"median_amount": 0.5}).withColumnRenamed("n", "party_rows").where(F.col("party_rows") >= t.behaviour_rows)
     found = rows.join(base, ["statement_id", "party_key"])
     found = found.where((F.col("amount") >= t.bridge_amount) & (F.col("amount") >= t.behaviour_times * F.col("median_amount")))
     return found.withColumn("times", F.round(F.col("amount") / F.col("median_amount"), 2))
@@ -124,8 +126,8 @@ def totals(ledger: DataFrame) -> DataFrame:
 
 def percentiles(ledger: DataFrame) -> DataFrame:
     """Exact 95 and 99 % points of the positive amounts of each statement."""
-    rows = ledger.withColumn("amount", amount()).where("amount > 0")
-    return rows.groupBy("statement_id").agg(*(F.round(F.percentile("amount", F.lit(q / 100)), 4).alias(f"q{q}") for q in (95, 99)))
+    found = quantiles(ledger.withColumn("amount", amount()), ["statement_id"], "amount", {"q95": 0.95, "q99": 0.99})
+    return found.select("statement_id", F.round("q95", 4).alias("q95"), F.round("q99", 4).alias("q99"))
 
 
 # Reasons for a review.

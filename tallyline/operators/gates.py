@@ -95,3 +95,15 @@ def recovery_rates(ledger: DataFrame) -> DataFrame:
 def quality_status(ledger: DataFrame) -> DataFrame:
     good = (F.col("movement_rate") >= 0.6) & (F.col("mismatches") == 0)
     return recovery_rates(ledger).withColumn("quality", F.when(good & (F.col("gaps") > 0), "PASS WITH SOURCE GAPS").when(good, "PASS").otherwise("REVIEW REQUIRED"))
+
+
+# Shares of pages with text below which a statement is scanned, and is shown as scanned.
+SCANNED_BELOW, SHOWN_SCANNED_BELOW = 0.5, 0.7
+
+
+def text_modes(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ratio, source_type, mode): the share of pages with text of each document, what it is read as and what it is shown as."""
+    ratio = F.round(F.avg((F.trim(F.coalesce(F.col(text), F.lit(""))) != "").cast("int")), 6)
+    out = pages.groupBy(key).agg(ratio.alias("ratio"))
+    kind = F.when(F.col("ratio") < SCANNED_BELOW, "PDF — Scanned/OCR").otherwise("PDF — Digital native")
+    return out.withColumns({"source_type": kind, "mode": F.when(F.col("ratio") < SHOWN_SCANNED_BELOW, "Scanned").otherwise("Digital")})

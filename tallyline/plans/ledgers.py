@@ -233,3 +233,14 @@ dated AS (SELECT statement_id, k, seq, date, narration, debit, credit, opening,
 extractions AS (SELECT statement_id, seq, date, narration, CASE WHEN k % 7 = 0 THEN credit ELSE debit END AS debit, CASE WHEN k % 7 = 0 THEN debit ELSE credit END AS credit, CASE WHEN k % 29 <> 0 THEN balance END AS balance, 'layout' AS method FROM dated
   UNION ALL SELECT statement_id, seq, date, narration, debit, credit, balance, 'table' FROM dated WHERE k % 23 <> 0
   UNION ALL SELECT statement_id, seq, date, narration, debit, credit, CASE WHEN CAST(statement_id AS BIGINT) % 3 = 0 AND seq = 4 THEN balance + 500 ELSE balance END, 'bands' FROM dated)"""
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`cells` with every second row on another sheet, and a sheet of notes without a header."""
+    grid = cells(spark, sf_dir)
+    key = printed(spark, sf_dir).withColumn("row", F.row_number().over(W.partitionBy("statement_id").orderBy("source_seq")) + 3).select("statement_id", "row", (F.col("source_seq") % 2 == 1).alias("other"))
+    body = grid.where("row > 3").join(key, ["statement_id", "row"]).withColumn("sheet", F.when(F.col("other"), "s3").otherwise("s1")).drop("other")
+    top = grid.where("row <= 3").drop("sheet")
+    top = top.withColumn("sheet", F.explode(F.array(F.lit("s1"), F.lit("s3"))))
+    notes = grid.select("statement_id").distinct().select("statement_id", F.lit("s2").alias("sheet"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("notes on the balance").alias("value"))
+    return body.unionByName(top).unionByName(notes)

@@ -752,3 +752,48 @@ def select_extraction(spark, d):
     texts = known.select("statement_id", (sid % 2 == 0).alias("speaks"), F.lit(1.0).alias("text_ratio"))
     found = selection.selected(L.extractions(spark, d), ("bands", "layout", "table"), opening, known.where(sid % 5 == 2).drop("opening"), texts, lenient=("bands",))
     return found.select("statement_id", "method", "score", "proven", "requires_review", "reason", "chosen")
+
+
+@query("""WITH p AS (SELECT source, CASE WHEN doc_id % 10 < CAST(substr(source, 4) AS BIGINT) % 10 THEN ' ' ELSE text END AS text FROM documents), r AS (SELECT source, round(avg(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END), 6) AS ratio FROM p GROUP BY source)
+SELECT source, ratio, CASE WHEN ratio < 0.5 THEN 'PDF — Scanned/OCR' ELSE 'PDF — Digital native' END AS source_type, CASE WHEN ratio < 0.7 THEN 'Scanned' ELSE 'Digital' END AS mode FROM r""")
+def doc_text_mode(spark, d):
+    """Documents as pages of their source, some of them blank."""
+    blank = F.col("doc_id") % 10 < F.substring("source", 4, 9).cast("long") % 10
+    return gates.text_modes(L.table(spark, d, "documents").withColumn("text", F.when(blank, " ").otherwise(F.col("text"))), "source")
+
+
+@query(f"""WITH {L.FAULTY_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY source_seq) + 3 AS source_row FROM printed)
+SELECT statement_id, CASE WHEN source_seq % 2 = 0 THEN 's1' ELSE 's3' END AS source_sheet, source_row, CASE WHEN source_seq % 2 = 0 THEN 1 ELSE 3 END * 1000000000 + source_row AS source_seq, date, debit, credit, round(balance, 2) AS balance FROM n""")
+def src_multi_sheet_union(spark, d):
+    return S.standardize_sheets(L.sheets(spark, d))[0].select("statement_id", "source_sheet", "source_row", "source_seq", "date", "debit", "credit", F.round("balance", 2).alias("balance"))
+
+
+@query(f"""WITH {L.FAULTY_SQL}, c AS (SELECT statement_id, count(*) FILTER (WHERE source_seq % 2 = 0) AS a, count(*) FILTER (WHERE source_seq % 2 = 1) AS b FROM printed GROUP BY statement_id)
+SELECT statement_id, 's1' AS sheet, 3 AS header_row, CAST(5 AS BIGINT) AS score, a AS n_rows, CASE WHEN a = 0 THEN 'no rows' ELSE '' END AS skipped FROM c UNION ALL SELECT statement_id, 's3', 3, 5, b, CASE WHEN b = 0 THEN 'no rows' ELSE '' END FROM c
+UNION ALL SELECT statement_id, 's2', NULL, NULL, 0, 'no header' FROM c""")
+def src_sheets(spark, d):
+    return S.standardize_sheets(L.sheets(spark, d))[1]
+
+
+#: Narrations of two words and a name by key, and the ordered rules of rails and categories, written out for another engine.
+WORDS_SQL = """SELECT c_custkey, concat_ws(' ', (['PAID', 'RTGS', 'ACHDR LTD', 'to ZERODHA', 'LIC', 'Housingfina', 'gst on', 'interest', 'Electric', 'trf', 'cheque', 'Debit Card', 'NEFT', 'self'])[1 + c_custkey % 14],
+  (['x', 'premium', 'EMI', 'jio', 'bank charges', 'ONLINE', 'cash deposit', 'imps', 'securities', 'credit card', 'cts'])[1 + c_custkey % 11], lower(c_mktsegment), c_name) AS narration, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS debit, CASE WHEN c_custkey % 3 = 1 THEN c_acctbal END AS credit FROM customer"""
+
+
+@query(f"""WITH t AS (SELECT *, upper(narration) AS x, coalesce(debit, 0) AS d, coalesce(credit, 0) AS c FROM ({WORDS_SQL}))
+SELECT c_custkey, CASE WHEN regexp_matches(x, '\\bUPI\\b|UPI/|BHIM|PHONEPE|GPAY|GOOGLEPAY|PAYTM|VPA') THEN 'UPI' WHEN regexp_matches(x, '\\bIMPS\\b') THEN 'IMPS' WHEN regexp_matches(x, '\\bNEFT\\b') THEN 'NEFT' WHEN regexp_matches(x, '\\bRTGS\\b') THEN 'RTGS'
+  WHEN regexp_matches(x, '\\bNACH\\b|\\bECS\\b|\\bACH\\b|ACHDR|NACHDR') THEN 'NACH/ECS/ACH' WHEN regexp_matches(x, '\\bATM\\b|CASH WITHDRAWAL|CASH DEPOSIT') THEN 'ATM/CASH' WHEN regexp_matches(x, '\\bCHQ\\b|\\bCHEQUE\\b|\\bCTS\\b|CAS PRES') THEN 'CHEQUE'
+  WHEN regexp_matches(x, 'CREDIT CARD|DEBIT CARD|CARD PAYMENT|POS') THEN 'CARD' WHEN regexp_matches(x, 'BROKING|BROKER|ZERODHA|ANGEL ONE|ANGELONE|SECURITIES') THEN 'BROKING/INVESTMENT' WHEN regexp_matches(x, 'PREMIUM|INSURANCE|LIC') THEN 'INSURANCE/PREMIUM'
+  WHEN regexp_matches(x, 'LOAN|HOUSINGFINA|PIRAMAL|EMI') THEN 'LOAN/FINANCE' WHEN regexp_matches(x, 'BANK CHARGES|CHARGES|GST ON') THEN 'BANK CHARGES' WHEN contains(x, 'INTEREST') THEN 'INTEREST' WHEN regexp_matches(x, 'RECHARGE|JIO|VODAFONE|ELECTRIC') THEN 'RECHARGE/UTILITY'
+  WHEN regexp_matches(x, '\\bTFR\\b|TRANSFER|TRF') THEN 'TRANSFER' ELSE 'OTHER / UNIDENTIFIED' END AS rail,
+CASE WHEN contains(x, 'CASH DEPOSIT') THEN 'Cash Deposit' WHEN contains(x, 'CASH WITHDRAWAL') THEN 'Cash Withdrawal' WHEN contains(x, 'BANK CHARGES') THEN 'Bank Charges' WHEN contains(x, 'INTEREST') THEN 'Interest' WHEN regexp_matches(x, 'PREMIUM|LIC') THEN 'Insurance / Premium'
+  WHEN regexp_matches(x, 'LOAN|HOUSINGFINA|PIRAMAL|EMI') THEN 'Loan / Finance' WHEN regexp_matches(x, 'BROKING|ANGEL ONE|ZERODHA|SECURITIES') THEN 'Investment / Broking' WHEN contains(x, 'CREDIT CARD') THEN 'Credit Card' WHEN regexp_matches(x, 'RECHARGE|JIO|VODAFONE') THEN 'Recharge / Utility'
+  WHEN regexp_matches(x, 'ONLINE|AMAZON|FLIPKART|SHOPSY') THEN 'Online / Merchant' WHEN contains(x, 'SELF') THEN 'Self / Internal' WHEN c > 0 AND d = 0 THEN 'Other Credit / Receipt' WHEN d > 0 AND c = 0 THEN 'Other Debit / Expense' ELSE 'Other' END AS category FROM t""")
+def classify_narrations(spark, d):
+    """Every rule of both lists in mixed narrations, so that their order decides."""
+    k = F.col("c_custkey")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    one = pick(("PAID", "RTGS", "ACHDR LTD", "to ZERODHA", "LIC", "Housingfina", "gst on", "interest", "Electric", "trf", "cheque", "Debit Card", "NEFT", "self"))
+    two = pick(("x", "premium", "EMI", "jio", "bank charges", "ONLINE", "cash deposit", "imps", "securities", "credit card", "cts"))
+    rows = L.table(spark, d, "customer").select(k, F.concat_ws(" ", one, two, F.lower("c_mktsegment"), "c_name").alias("narration"), F.when(k % 3 == 0, F.col("c_acctbal")).alias("debit"), F.when(k % 3 == 1, F.col("c_acctbal")).alias("credit"))
+    return rows.select(k, T.rail(F.col("narration")).alias("rail"), T.category(F.col("narration"), F.col("debit"), F.col("credit")).alias("category"))

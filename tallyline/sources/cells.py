@@ -90,12 +90,35 @@ def standardize_tables(tables: DataFrame, within: int = 8, least: int = 3) -> Da
     return out.withColumns({"source_page": place(0).cast("int"), "source_row": F.col("source_seq"), "source_seq": seq})
 
 
-def csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of CSV files; a file is a statement. Rows keep their order within a file."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("statement_id"), F.col("value").alias("body"))
-    lines = rows.select("statement_id", F.posexplode(F.split("body", r"\r?\n")).alias("row", "line"))
-    fields = F.expr(r"""transform(regexp_extract_all(line, '(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))', 0), x -> regexp_replace(regexp_replace(regexp_replace(x, '^,', ''), '^"|"$', ''), '""', '"'))""")
-    return lines.where("line != ''").select("statement_id", F.lit("csv").alias("sheet"), "row", F.posexplode(fields).alias("col", "value"))
+def standardize_sheets(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ledger rows of all sheets of each statement, one sheet after the other, and what came of each sheet.
+
+    sheets: (statement_id, sheet, header_row, score, n_rows, skipped): header_row and score are null where no header was
+    found; skipped says why a sheet gave no rows, and is empty for the others. Rows are numbered by sheet name and row.
+    """
+    head = headers(cells)
+    ledger = standardize(cells, head)
+    counts = ledger.groupBy("statement_id", F.col("source_sheet").alias("sheet")).agg(F.count("*").alias("n_rows"))
+    every = cells.select(*SHEET).distinct().join(head, SHEET, "left").join(counts, SHEET, "left").fillna(0, ["n_rows"])
+    skipped = F.when(F.col("header_row").isNull(), "no header").when(F.col("n_rows") == 0, "no rows").otherwise("")
+    sheets = every.withColumn("skipped", skipped)
+    place = sheets.select(*SHEET, F.row_number().over(W.partitionBy("statement_id").orderBy("sheet")).alias("nth")).withColumnRenamed("sheet", "source_sheet")
+    ledger = ledger.withColumn("source_row", F.col("source_seq")).join(place, ["statement_id", "source_sheet"])
+    return ledger.withColumn("source_seq", F.col("nth").cast("long") * 1_000_000_000 + F.col("source_row")).drop("nth"), sheets
+
+
+def csv_cells(spark: SparkSession, path: str, columns: int = 64) -> DataFrame:
+    """Cells of the CSV files in a folder and below it; a file is a statement, known by its path. Rows keep their order within a file.
+
+    Files are read by Spark, a row at a time, with quoted line ends and doubled quotes; blank lines don't count. Cells
+    beyond `columns` in a row are left out.
+    """
+    schema = ", ".join(f"c{k} string" for k in range(columns))
+    rows = spark.read.option("recursiveFileLookup", True).csv(path, schema=schema, header=False, multiLine=True, quote='"', escape='"')
+    rows = rows.select(F.col("_metadata.file_path").alias("statement_id"), F.monotonically_increasing_id().alias("at"), F.array(*(f"c{k}" for k in range(columns))).alias("values"))
+    numbered = rows.withColumn("row", F.row_number().over(W.partitionBy("statement_id").orderBy("at")) - 1)
+    cells = numbered.select("statement_id", F.lit("csv").alias("sheet"), "row", F.posexplode("values").alias("col", "value"))
+    return cells.where(F.col("value").isNotNull())
 
 
 def evidence_hash(content: Column) -> Column:

@@ -21,3 +21,34 @@ def test_combined_column(spark):
     cells = spark.createDataFrame([("s", "x", r, c, v) for r, row in enumerate(sheet) for c, v in enumerate(row)], "statement_id string, sheet string, row int, col int, value string")
     rows = S.standardize(cells).orderBy("source_seq").collect()
     assert [(r["narration"], r["debit"], r["credit"], r["balance"]) for r in rows] == [("A", 1250.5, None, 900.0), ("B", None, 500.0, 1400.0), ("C", None, None, 1400.0)]
+
+
+def test_csv_quoted_lines_and_folders(spark, tmp_path):
+    """Line ends within quotes stay in their cell; equal names in two folders are two statements; rows may be of any length."""
+    for name, amount in (("a", "5"), ("b", "7")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.csv").write_text(f'Date,Narration,Debit,Credit,Balance\n01/02/2024,"first\nsecond, ""third""",{amount},,9\n\n02/02/2024,B,,1\n03/02/2024,C,,2,3,4,5\n')
+    rows = S.standardize(S.csv_cells(spark, str(tmp_path))).orderBy("statement_id", "source_seq").collect()
+    assert len({r["statement_id"] for r in rows}) == 2
+    assert [(r["narration"], r["debit"], r["credit"], r["balance"]) for r in rows[:3]] == [('first\nsecond, "third"', 5.0, None, 9.0), ("B", None, 1.0, None), ("C", None, 2.0, 3.0)]
+    assert rows[3]["debit"] == 7.0
+
+
+def test_sheets_are_recorded(spark):
+    head = ("Date", "Narration", "Debit", "Credit", "Balance")
+    grid = [("s", "a", 0, head), ("s", "a", 1, ("01/02/2024", "A", "5", None, "9")), ("s", "b", 0, ("just", "notes", None, None, None)), ("s", "c", 4, head), ("t", "a", 0, head), ("t", "a", 2, ("01/02/2024", "T", None, "1", "2"))]
+    cells = spark.createDataFrame([(k, s, r, c, v) for k, s, r, row in grid for c, v in enumerate(row) if v is not None], "statement_id string, sheet string, row int, col int, value string")
+    ledger, sheets = S.standardize_sheets(cells)
+    assert [(r["statement_id"], r["source_sheet"], r["source_row"], r["narration"]) for r in ledger.orderBy("statement_id", "source_seq").collect()] == [("s", "a", 1, "A"), ("t", "a", 2, "T")]
+    assert sorted((r["statement_id"], r["sheet"], r["header_row"], r["n_rows"], r["skipped"]) for r in sheets.collect() if r["header_row"] is not None) == [("s", "a", 0, 1, ""), ("s", "c", 4, 0, "no rows"), ("t", "a", 0, 1, "")]
+    assert [(r["sheet"], r["score"], r["skipped"]) for r in sheets.where("header_row is null").collect()] == [("b", None, "no header")]
+
+
+def test_ragged_tables(spark):
+    """The header is the first row of the most terms among the first eight; rows are padded or cut; tables without a header give none."""
+    head = ["Date", "Narration", "Debit", "Credit", "Balance"]
+    one = [["Statement"], head, ["01/02/2024", "A", "5", None], ["02/02/2024", "B", "", "7", "12", "99"], [], None, ["03/02/2024"]]
+    two = [["x"]] * 8 + [head, ["01/02/2024", "late", "5", "", ""]]
+    rows = [("s", 1, t, r, c) for t, table in enumerate((one, two)) for r, c in enumerate(table)]
+    found = S.standardize_tables(spark.createDataFrame(rows, "statement_id string, page int, table_no int, row int, cells array<string>")).orderBy("source_seq").collect()
+    assert [(r["narration"], r["debit"], r["credit"], r["balance"], r["source_row"], r["source_page"]) for r in found] == [("A", 5.0, None, None, 2, 1), ("B", None, 7.0, 12.0, 3, 1), ("", None, None, None, 6, 1)]
