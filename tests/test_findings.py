@@ -110,25 +110,29 @@ def extraction(spark, method, wrong=0, n=12, opening=1000.0):
 
 
 def test_selection(spark):
-    """The proven candidate wins; an opening that conflicts leaves it for review; a candidate with a mismatch falls."""
-    both = extraction(spark, "a", wrong=1).unionByName(extraction(spark, "b"))
-    pick = lambda rows, **o: {r["method"]: (r["reason"], r["chosen"], r["requires_review"]) for r in selection.selected(rows, ("a", "b"), **o).collect()}
-    assert pick(both) == {"a": ("balances do not follow", False, False), "b": ("", True, False)}
-    opening = spark.createDataFrame([("s", 900.0, "explicit_opening")], "statement_id string, opening double, source string")
-    assert pick(both, opening=opening)["b"] == ("", True, True)
-    # Too few balances for proof: the same conflict rejects, and so it does the consensus of what there is.
-    short = extraction(spark, "b").withColumn("balance", F.when(F.col("source_seq") < 10, F.col("balance")))
-    assert {k: v[0] for k, v in pick(short, opening=opening).items()} == {"b": "opening differs", "consensus": "opening differs"}
-    # A method whose columns are known may have a single mismatch.
-    assert pick(extraction(spark, "a", wrong=1), lenient=("a",))["a"] == ("balances do not follow", False, False)
-    last = extraction(spark, "a").withColumn("balance", F.when(F.col("source_seq") == 11, F.col("balance") + 500).otherwise(F.col("balance")))
-    assert pick(last, lenient=("a",))["a"] == ("", True, True) and pick(last)["a"][0] == "balances do not follow"
-    texts = lambda ratio: spark.createDataFrame([("s", True, ratio)], "statement_id string, speaks boolean, text_ratio double")
-    some = extraction(spark, "b").withColumn("balance", F.when(F.col("source_seq") < 8, F.col("balance")))
-    assert pick(some, texts=texts(1.0))["b"][:2] == ("balances too rare for the text", False) and pick(some, texts=texts(0.2))["b"][:2] == ("", True)
-    verdicts = selection.selected(both, ("a", "b"), opening=opening)
-    taken = selection.selected_rows(both, verdicts, ("a", "b")).collect()
-    assert len(taken) == 12 and {r["method"] for r in taken} == {"b"} and not any(r["look_at"] for r in taken)
+    """The proven candidate wins; an opening that conflicts leaves it for review or, without proof, rejects it and the consensus
+    of what there is; a mismatch rejects, unless the method is lenient and it is the only one; rare balances reject in the end."""
+    named = lambda df, sid: df.withColumn("statement_id", F.lit(sid))
+    clean, balance = extraction(spark, "b"), F.col("balance")
+    both = extraction(spark, "a", wrong=1).unionByName(clean)
+    short = clean.withColumn("balance", F.when(F.col("source_seq") < 10, balance))  # too few balances for proof
+    some = clean.withColumn("balance", F.when(F.col("source_seq") < 8, balance))
+    last = extraction(spark, "a").withColumn("balance", F.when(F.col("source_seq") == 11, balance + 500).otherwise(balance))
+    rows = None
+    for sid, part in (("plain", both), ("opened", both), ("short", short), ("last", last), ("digital", some), ("scanned", some)):
+        rows = named(part, sid) if rows is None else rows.unionByName(named(part, sid))
+    opening = spark.createDataFrame([("opened", 900.0, "explicit_opening"), ("short", 900.0, "explicit_opening")], "statement_id string, opening double, source string")
+    texts = spark.createDataFrame([("digital", True, 1.0), ("scanned", True, 0.2), ("plain", False, 1.0)], "statement_id string, speaks boolean, text_ratio double")
+    verdicts = selection.selected(rows, ("a", "b"), opening=opening, texts=texts)
+    found = {(r["statement_id"], r["method"]): (r["reason"], r["chosen"], r["requires_review"]) for r in verdicts.collect()}
+    assert found["plain", "a"] == found["opened", "a"] == found["last", "a"] == ("balances do not follow", False, False)
+    assert found["plain", "b"] == ("", True, False) and found["opened", "b"] == ("", True, True)
+    assert found["short", "b"][0] == found["short", "consensus"][0] == "opening differs"
+    assert found["digital", "b"][:2] == ("balances too rare for the text", False) and found["scanned", "b"][:2] == ("", True)
+    taken = selection.selected_rows(rows, verdicts, ("a", "b")).groupBy("statement_id", "method").agg(F.count("*").alias("n"), F.max("look_at").alias("odd")).collect()
+    assert {tuple(r) for r in taken} == {("plain", "b", 12, False), ("opened", "b", 12, False), ("scanned", "b", 12, False)}
+    spared = {r["statement_id"]: (r["reason"], r["chosen"], r["requires_review"]) for r in selection.judged(named(extraction(spark, "a", wrong=2), "two").unionByName(named(last, "one")), lenient=("a",)).withColumn("chosen", F.col("reason") == "").collect()}
+    assert spared == {"one": ("", True, True), "two": ("balances do not follow", False, False)}
 
 
 def test_consensus(spark):
