@@ -190,11 +190,12 @@ def columns_of(headers: DataFrame, profile: Profile = POSITIONS) -> DataFrame:
     return rows.where(has("date") & has("balance") & has(*MOVED)).select(*PAGE, F.col("y").alias("header_y"), "centres")
 
 
-def bands(centres: Column) -> Column:
-    """Array of (column, low, high) that meet halfway between neighbouring centres; the outer ones are open."""
-    x = lambda k: F.get(centres, k)["x"]
-    band = lambda c, i: F.struct(c["column"].alias("column"), F.when(i == 0, F.lit(float("-inf"))).otherwise((x(i - 1) + c["x"]) / 2).alias("low"), F.when(i == F.size(centres) - 1, F.lit(float("inf"))).otherwise((c["x"] + x(i + 1)) / 2).alias("high"))
-    return F.transform(centres, band)
+#: SQL for an array of (column, low, high) that meet halfway between neighbouring `centres`; the outer ones are open.
+MIDWAY = """transform(centres, (c, i) -> struct(c.column as column, if(i = 0, double('-Infinity'), (get(centres, i - 1).x + c.x) / 2) as low,
+  if(i = size(centres) - 1, double('Infinity'), (c.x + get(centres, i + 1).x) / 2) as high))"""
+#: SQL for the words of a line as cells: their centres, texts and columns.
+CELLS = """transform(transform(words, w -> struct((w.x0 + w.x1) / 2 as x, trim(w.text) as text)),
+  w -> struct(w.x as x, w.text as text, get(filter(bands, b -> w.x >= b.low and w.x < b.high), 0).column as column))"""
 
 
 def _shares(shares: dict[str, float]) -> Column:
@@ -224,22 +225,18 @@ def page_layouts(page_lines: DataFrame, profile: Profile, shares: dict[str, floa
         found.append(times(_shares(shares), F.col("width")))
     rows = rows.withColumns({"header_y": F.coalesce("header_y", F.lit(-1.0)), "centres": F.coalesce(*found), "torn_year": F.when(F.col("following.page") == F.col("page") + 1, F.col("following.year"))})
     rows = rows.where(F.col("centres").isNotNull())
-    return _once(rows.select(*PAGE, "width", "header_y", "centres", "torn_year"), bands=bands(F.col("centres")))
+    return _once(rows.select(*PAGE, "width", "header_y", "centres", "torn_year"), bands=F.expr(MIDWAY))
 
 
 def placed(page_lines: DataFrame, layouts: DataFrame, below: float) -> DataFrame:
     """Lines under their page's header with cells: their words' centres, texts and columns, from left to right."""
     rows = page_lines.drop("width").join(layouts, PAGE).where((F.col("header_y") < 0) | (F.col("y") > F.col("header_y") + below))
 
-    def cell(w: Column) -> Column:
-        x = (w["x0"] + w["x1"]) / 2
-        return F.struct(x.alias("x"), F.trim(w["text"]).alias("text"), F.get(F.filter("bands", lambda b: (x >= b["low"]) & (x < b["high"])), 0)["column"].alias("column"))
-
-    return _once(rows, cells=F.transform("words", cell)).drop("words", "bands")
+    return _once(rows, cells=F.expr(CELLS)).drop("words", "bands")
 
 
 def _bucket(column: str) -> Column:
-    return F.transform(F.filter("cells", lambda c: c["column"] == column), lambda c: c["text"])
+    return F.expr(f"transform(filter(cells, c -> c.column = '{column}'), c -> c.text)")
 
 
 def _joined(texts: Column) -> Column:
@@ -362,20 +359,15 @@ def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool
     token = F.regexp_extract("line", rf"^\s*({DATE})", 1)
     rows = _once(rows, date=T.parse_date(F.nullif(token, F.lit("")))).where(F.col("date").isNotNull())
 
-    money = F.filter(F.transform("cells", lambda c: c.withField("text", F.trim(F.regexp_replace(c["text"], "₹", "")))), lambda c: c["text"].rlike(AMOUNT))
-    rows = _once(rows, money=money).where(F.exists("money", lambda c: c["x"] > F.col("width") * 0.5))
-    last = lambda cells: F.get(cells, F.size(cells) - 1)
-    moved = lambda c: F.coalesce(c["column"].isin(*MOVED), F.lit(False))
-    named = F.filter("money", lambda c: c["column"] == "balance")
-    right = last(F.col("money"))
-    rows = _once(rows, balance_cell=F.coalesce(last(named), F.when((F.size("money") >= 2) & ~moved(right), right)))
-    centre = lambda column: F.get(F.filter("centres", lambda c: c["column"] == column), 0)["x"]
-    rows = _once(rows, at_reference=centre("reference"), at_narration=centre("narration"), at_value=centre("value"))
-    beyond = F.col("at_reference") + F.greatest(F.lit(8.0), F.col("width") * 0.015)
-    apart = lambda c: F.col("balance_cell").isNull() | (F.abs(c["x"] - F.col("balance_cell.x")) > 8)
-    choices = F.filter("money", lambda c: apart(c) & (F.col("at_reference").isNull() | (c["x"] > beyond) | moved(c)))
-    rows = _once(rows, choices=choices)
-    movement = F.coalesce(last(F.filter("choices", moved)), last(F.col("choices")))
+    money = f"filter(transform(cells, c -> struct(c.x as x, trim(replace(c.text, '₹', '')) as text, c.column as column)), c -> c.text rlike r'{AMOUNT}')"
+    rows = _once(rows, money=F.expr(money)).where(F.expr("exists(money, c -> c.x > width * 0.5)"))
+    moved = f"coalesce(c.column in {MOVED}, false)"
+    last = lambda cells: f"get({cells}, size({cells}) - 1)"
+    right = f"if(size(money) >= 2, {last(f'filter(array({last('money')}), c -> not {moved})')}, null)"
+    rows = _once(rows, balance_cell=F.expr(f"coalesce({last("filter(money, c -> c.column = 'balance')")}, {right})"), **{f"at_{c}": F.expr(f"get(filter(centres, c -> c.column = '{c}'), 0).x") for c in ("reference", "narration", "value")})
+    beyond = "at_reference + greatest(8.0D, width * 0.015D)"
+    rows = _once(rows, choices=F.expr(f"filter(money, c -> (balance_cell is null or abs(c.x - balance_cell.x) > 8) and (at_reference is null or c.x > {beyond} or {moved}))"))
+    movement = F.expr(f"coalesce({last(f'filter(choices, c -> {moved})')}, {last('choices')})")
     rows = _once(rows, movement=movement)
     ends = lambda side: F.regexp_replace(F.upper("movement.text"), " ", "").rlike(f"{side}$")
     says = lambda words: F.upper("line").rlike(rf"\b(?:{words})\b")
@@ -400,17 +392,11 @@ def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool
 
 def _routed() -> tuple[Column, Column]:
     """Narration and reference of a row: words go by their distances to the centres of both columns; dates, amounts and mere signs go nowhere."""
-    at, narration = F.col("at_reference"), F.col("at_narration")
-
-    def place(c: Column) -> Column:
-        x = c["x"]
-        near = F.abs(x - at) <= F.greatest(F.lit(55.0), at * 0.12)
-        right = narration.isNotNull() & (x >= narration - 40)
-        return F.when(near, "r").when(right & (at.isNull() | (x < at - 20)), "n").when(right, "r").when(narration.isNull(), "n")
-
-    dated = lambda c: c["text"].rlike(f"^{DATE}$") | ((F.abs(c["x"] - F.col("at_value")) < 35) & c["text"].rlike(DATE))
-    free = F.filter("cells", lambda c: c["text"].rlike(r"[\p{L}\p{N}]") & ~c["text"].rlike(AMOUNT) & ~F.coalesce(dated(c), F.lit(False)))
-    of = lambda kind: _joined(F.transform(F.filter(free, lambda c: place(c) == kind), lambda c: c["text"]))
+    place = """case when abs(c.x - at_reference) <= greatest(55.0D, at_reference * 0.12D) then 'r' when c.x >= at_narration - 40 and (at_reference is null or c.x < at_reference - 20) then 'n'
+      when c.x >= at_narration - 40 then 'r' when at_narration is null then 'n' end"""
+    dated = f"(c.text rlike r'^{DATE}$' or coalesce(abs(c.x - at_value) < 35 and c.text rlike r'{DATE}', false))"
+    free = rf"filter(cells, c -> c.text rlike r'[\p{{L}}\p{{N}}]' and not c.text rlike r'{AMOUNT}' and not {dated})"
+    of = lambda kind: F.expr(f"trim(array_join(transform(filter({free}, c -> {place} = '{kind}'), c -> c.text), ' '))")
     return of("n"), of("r")
 
 
