@@ -763,7 +763,7 @@ def doc_text_mode(spark, d):
 
 
 @query(f"""WITH {L.FAULTY_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY source_seq) + 3 AS source_row FROM printed)
-SELECT statement_id, CASE WHEN source_seq % 2 = 0 THEN 's1' ELSE 's3' END AS source_sheet, source_row, CASE WHEN source_seq % 2 = 0 THEN 1 ELSE 3 END * 1000000000 + source_row AS source_seq, date, debit, credit, round(balance, 2) AS balance FROM n""")
+SELECT statement_id, CASE WHEN source_seq % 2 = 0 THEN 's1' ELSE 's3' END AS source_sheet, source_row, CAST(CASE WHEN source_seq % 2 = 0 THEN 1 ELSE 3 END AS BIGINT) * 1000000000 + source_row AS source_seq, date, debit, credit, round(balance, 2) AS balance FROM n""")
 def src_multi_sheet_union(spark, d):
     return S.standardize_sheets(L.sheets(spark, d))[0].select("statement_id", "source_sheet", "source_row", "source_seq", "date", "debit", "credit", F.round("balance", 2).alias("balance"))
 
