@@ -523,9 +523,17 @@ def evidence_hash(spark, d):
     return L.table(spark, d, "pages").select("page_id", S.evidence_hash(F.col("html").cast("binary")).alias("evidence"))
 
 
-@query(f"""WITH {L.ACCOUNTS_SQL} SELECT statement_id, source_seq, concat(narration, ' to 31-') AS narration, concat('UPI/', CAST(1000000 + source_seq AS VARCHAR)) AS reference FROM accounts""")
+REFERENCES = """CASE source_seq % 6 WHEN 0 THEN concat('UPI/', CAST(source_seq + 1000000 AS VARCHAR(20)), ' to 31-') WHEN 1 THEN concat(CAST(source_seq + 12345678 AS VARCHAR(20)), ' : paid  for') WHEN 2 THEN 'Advice up to 15-'
+  WHEN 3 THEN concat('NEFT:AB-', CAST(source_seq AS VARCHAR(20)), '/X99 NO') WHEN 4 THEN '' ELSE concat('ph UTR', CAST(source_seq + 10000 AS VARCHAR(20))) END"""
+IDS = r"(?i)\b(?:UPI|IMPS|NEFT|RTGS|NACH|ECS|ACH|CLIN|DAP|FINANCE|UTR|RRN|REF|TRN|TXN|CHQ|CHEQUE|CTS)[/_:\-]?[A-Z0-9][A-Z0-9/_:\-]{4,}|\b\d{8,}\b"
+
+
+@query(f"""WITH {L.ACCOUNTS_SQL}, r AS (SELECT statement_id, source_seq, narration, {REFERENCES} AS own FROM accounts), i AS (SELECT *, array_to_string(regexp_extract_all(own, '{IDS}'), ' ') AS ids, trim(regexp_replace(regexp_replace(own, '{IDS}', ' ', 'g'), '[ :]+', ' ', 'g')) AS rest FROM r)
+SELECT statement_id, source_seq, CASE WHEN source_seq % 6 = 2 THEN concat(narration, ' up to 15-') WHEN ids = '' OR rest = 'NO' THEN narration WHEN rest = 'ph' THEN concat(narration, ' Ph') ELSE concat(narration, ' ', rest) END AS narration,
+  CASE WHEN source_seq % 6 = 2 THEN 'Advice' WHEN own = '' THEN array_to_string(regexp_extract_all(narration, '{IDS}'), ' ') ELSE ids END AS reference FROM i""")
 def reference_cleanup(spark, d):
-    rows = L.accounts(spark, d).withColumn("reference", F.concat(F.lit("UPI/"), (F.col("source_seq") + 1000000).cast("string"), F.lit(" to 31-")))
+    """Identifiers with remarks, with a piece of a period, with nothing worth keeping, none at all, and those of the narration."""
+    rows = L.accounts(spark, d).withColumn("reference", F.expr(REFERENCES.replace("VARCHAR(20)", "STRING")))
     narration, reference = T.cleaned_reference(F.col("narration"), F.col("reference"))
     return rows.select("statement_id", "source_seq", narration.alias("narration"), reference.alias("reference"))
 
