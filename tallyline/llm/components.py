@@ -51,13 +51,13 @@ PARTS = 4
 
 
 def met(keys: DataFrame) -> DataFrame:
-    """(key, node) of the nodes that share a key with another; of keys with the same nodes one is enough. keys is a written table."""
+    """(key, node) of the nodes that share a key with another; of keys with the same nodes the largest is enough. keys is a written table."""
     found = []
     ends = [F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(F.xxhash64("node")).alias("z")]
     for part in range(PARTS):
         some = keys.where(F.pmod("key", F.lit(PARTS)) == part)
         crowded = some.groupBy("key").agg(F.count("*").alias("m"), *ends).where("m > 1")
-        crowded = written(crowded.groupBy("m", "x", "y", "z").agg(F.min("key").alias("key")), "crowded")
+        crowded = written(crowded.groupBy("m", "x", "y", "z").agg(F.max("key").alias("key")), "crowded")
         # Two nodes of a key are its ends; the nodes of other keys are looked up.
         pairs = crowded.where("m = 2").select("key", F.explode(F.array("x", "y")).alias("node"))
         found.append(written(pairs.union(some.join(crowded.where("m > 2").select("key"), "key", "left_semi")), "met"))
@@ -68,18 +68,63 @@ def met(keys: DataFrame) -> DataFrame:
     return out
 
 
-def grouped(keyed: DataFrame, sizes: DataFrame, compared: Callable[[DataFrame], DataFrame], allowed: Callable[[Column], Column]) -> DataFrame:
+#: Parts of a key, and pairs that each row of two groups may bring; where there are more, the key is refined.
+CROWD = 8
+#: Pairs that each row of a refined key may bring, else it gets one more feature; and the features that it may have.
+FEW, DEEP = 2, 8
+
+
+def refined(features: DataFrame, roots: DataFrame, share: float) -> DataFrame:
+    """Pairs (u, v) of nodes with different roots that have at least `share` of either's features in common.
+
+    features: (node, space, f), f told apart by space; roots: (node, root). The rarest features come first; of n of them,
+    two nodes with share * n in common have w in common among the first n - share * n + w. So keys are single features of
+    that beginning, then, where a key is crowded, that key with each of the later ones, and so on: what many unlike nodes hold
+    is never a key by itself. Keys of `DEEP` features aren't refined any more.
+    """
+    features = written(features.distinct(), "features")
+    often = features.groupBy("f").agg(F.count("*").alias("often"))
+    ranked = features.join(often, "f").groupBy("node", "space").agg(F.sort_array(F.collect_list(F.struct("often", "f"))).alias("fs"))
+    ranked = written(ranked.join(roots, "node").withColumn("n", F.size("fs")).withColumn("spare", (F.col("n") - F.ceil(F.lit(share) * F.col("n"))).cast("int")), "ranked")
+    rows = ranked.select("node", "space", "root", F.expr("inline(transform(slice(fs, 1, spare + 1), (x, i) -> struct(x.f as key, x.often as often, i as at)))")).where("often > 1").drop("often")
+    found, used = [], [features]
+    for width in range(1, DEEP + 1):
+        rows = written(rows, "refined")
+        used.append(rows)
+        held = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("alike"))
+        held = held.where("n * n > alike").withColumn("crowded", (F.col("n") * F.col("n") - F.col("alike")) / 2 > FEW * F.col("n"))
+        held = written(held, "refined-keys")
+        used.append(held)
+        few = rows.join((held if width == DEEP else held.where("not crowded")).select("key"), "key", "left_semi").select("key", "node", "root")
+        pairs = few.toDF("key", "u", "x").join(few.toDF("key", "v", "y"), "key").where("x <> y and u < v").select("u", "v").distinct()
+        found.append(written(pairs, "refined-pairs"))
+        many = held.where("crowded").select("key")
+        if width == DEEP or many.isEmpty():
+            break
+        more = rows.join(many, "key", "left_semi").join(ranked.select("node", "space", "fs", "spare"), ["node", "space"])
+        later = f"inline(transform(slice(fs, at + 2, greatest(spare + {width + 1} - at - 1, 0)), (x, i) -> struct(xxhash64(key, x.f) as key2, x.often as often, at + 1 + i as at2)))"
+        rows = more.select("node", "space", "root", "key", "at", "fs", "spare").select("node", "space", "root", F.expr(later)).where("often > 1")
+        rows = rows.select("node", "space", "root", F.col("key2").alias("key"), F.col("at2").alias("at"))
+    out = written(reduce(DataFrame.union, found).distinct(), "refined-pairs")
+    released(ranked, *used, *found)
+    return out
+
+
+def grouped(keyed: DataFrame, sizes: DataFrame, compared: Callable[[DataFrame], DataFrame], allowed: Callable[[Column], Column], features: Callable[[DataFrame], DataFrame] | None = None, share: float = 0.75) -> DataFrame:
     """(node, component) of the nodes that links reach; keyed: distinct (key, node), sizes: (node, size).
 
     compared takes pairs (u, v, limit) and returns (u, v, d, least): d, a bound from above of their distance, if it is
     found to be `limit` at most, else null; least: a bound from below. A distance is a metric; u and v are linked at a
-    distance of allowed(the larger size) at most.
+    distance of allowed(the larger size) at most. features takes (node) and returns (node, space, f) for `refined`.
 
     1. Each node is compared with one chief, the least first node of its keys.
     2. Of keys whose nodes aren't all in one component by now, the chiefs are compared. If theirs is so far that no node
        near the one can be linked with a node near the other, by the triangle inequality, that settles all their nodes.
     3. What is left is compared pairwise.
-    So no pair of a key is missed, and large groups of like nodes make rows in proportion to their size.
+    4. With features, negative keys of more than `CROWD` parts, and groups between which step 3 would make more than `CROWD`
+       pairs a node, go to `refined` instead: a key that many unlike nodes share says too little. Pairs of such a key that have
+       less than `share` of their features in common are found only if another key holds them. Without features, and for
+       keys that aren't negative, no pair of a key is missed.
     """
     chiefs = keyed.groupBy("key").agg(F.min("node").alias("chief"))
     pairs = keyed.join(chiefs, "key").where("node <> chief").groupBy(F.col("node").alias("v")).agg(F.min("chief").alias("u"))
@@ -100,7 +145,11 @@ def grouped(keyed: DataFrame, sizes: DataFrame, compared: Callable[[DataFrame],
     rest = written(members.join(apart, "key", "left_semi"), "rest")
     parts = rest.groupBy("key", "chief", "root").agg(F.max("d").alias("d"), F.max("size").alias("high"), F.min("size").alias("low"))
     parts = written(parts, "parts")
-    left, right = parts.toDF("key", "u", "root_u", "d_u", "high_u", "low_u"), parts.toDF("key", "v", "root_v", "d_v", "high_v", "low_v")
+    few = parts
+    if features:
+        crowded = written(parts.groupBy("key").agg(F.count("*").alias("m")).where(f"m > {CROWD} and key < 0").select("key"), "crowded")
+        few = parts.join(crowded, "key", "left_anti")
+    left, right = few.toDF("key", "u", "root_u", "d_u", "high_u", "low_u"), few.toDF("key", "v", "root_v", "d_v", "high_v", "low_v")
     most = allowed(F.greatest("high_u", "high_v"))
     far = (F.col("low_u") - F.col("high_v") > most) | (F.col("low_v") - F.col("high_u") > most)
     both = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & ~far)
@@ -111,11 +160,26 @@ def grouped(keyed: DataFrame, sizes: DataFrame, compared: Callable[[DataFrame],
     open_ = found.where("d is not null").select(F.col("u").alias("chief_u"), F.col("v").alias("chief_v"))
     merged = written(components(near.select("u", "v").union(links)), "groups")
     now = rest.drop("root", "size", "d").join(merged, "node", "left").select("key", "node", "chief", F.coalesce("component", "node").alias("root"))
-    one = now.toDF("key", "u", "chief_u", "root_u").join(open_, "chief_u")
+    hard = None
+    if features:
+        settled = now.join(crowded, "key", "left_anti")
+        held = settled.groupBy("key", "chief").agg(F.count("*").alias("n"))
+        meets = held.toDF("key", "chief_u", "n_u").join(open_, "chief_u").join(held.toDF("key", "chief_v", "n_v"), ["key", "chief_v"])
+        meets = written(meets.select("key", "chief_u", "chief_v", F.expr(f"key < 0 and n_u * n_v > {CROWD} * (n_u + n_v)").alias("many")), "meets")
+        large = meets.where("many").select("key", F.explode(F.array("chief_u", "chief_v")).alias("chief")).distinct()
+        hard = now.join(crowded, "key", "left_semi").select("node", "root").union(settled.join(large, ["key", "chief"], "left_semi").select("node", "root"))
+        hard = written(hard.distinct(), "hard")
+        one = now.toDF("key", "u", "chief_u", "root_u").join(meets.where("not many").select("key", "chief_u", "chief_v"), ["key", "chief_u"])
+    else:
+        one = now.toDF("key", "u", "chief_u", "root_u").join(open_, "chief_u")
     two = now.toDF("key", "v", "chief_v", "root_v")
     single = one.join(two, ["key", "chief_v"]).where(F.col("root_u") != F.col("root_v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if features and not hard.isEmpty():
+        single = single.union(refined(features(hard.select("node")), hard, share)).distinct()
     full = written(compared(limited(single)).where("d is not null").select("u", "v"), "more-links")
     out = merged if full.isEmpty() else components(merged.select("node", "component").union(full))
     released(near, so_far, members, rest, parts, found)
+    if features:
+        released(crowded, meets, hard)
     shuffles_dropped(keyed)
     return out
