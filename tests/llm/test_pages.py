@@ -129,3 +129,30 @@ def test_template_texts_stay_elsewhere(spark):
     rows = [(k, f"http://a.example/{k}", html(k)) for k in range(30)]
     found = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[5] == "text 5\nFollow our news" and found[6] == "text 6"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p>" * 60_000, "<div>" * 60_000 + "</span>" * 60_000, "a<p " * 200_000, "<span>" * 60_000 + "<hr>" * 60_000, "<span><article>" + "<div>" * 60_000 + "</span>" * 60_000, '<a ">" ' * 100_000, "<script>" + "</script " * 100_000])
+def test_parsing_is_linear(page):
+    import time
+
+    start = time.process_time()
+    html_extract.placed_blocks(html_extract.parse(page))
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<form id=aspnetForm><div><h1>Title</h1><p>the story of the page</p></div><input></form>", ["Title", "the story of the page"]),
+    ("<form><nav>menu</nav><article><p>story</p><form>x</form></article></form>", ["story"]),
+    ("<p>the story of the page</p><form><p>your name</p></form>", ["the story of the page"]),
+    ("<div class=content>the long story of the page</div><section><article>Teaser</article></section>", ["the long story of the page", "Teaser"]),
+    ("<div class=topbar>x</div><div class=siteFooter>x</div><div class=adbox>x</div><div class=gdpr-bar>x</div><p>story</p>", ["story"]),
+    ('<p>a</p><a title="never ends>b</a><p>c</p>', ["a", "b", "c"]),
+])
+def test_forms_teasers_and_names(page, blocks):
+    assert html_extract.content_blocks(html_extract.parse(page)) == blocks
+
+
+def test_texts_of_deep_places_have_their_own_paths():
+    deep = lambda tag: "<div>" * 400 + f"<{tag}>x</{tag}>" + "</div>" * 400
+    one, two = (list(html_extract.placed_leaves(html_extract.parse(deep(tag))))[0][1] for tag in ("section", "ul"))
+    assert one != two
