@@ -5,15 +5,15 @@
 2. The histogram of tail lengths, at most capacity - 1 numbers, goes to the driver. A linear program over
    patterns (how many pieces of each length share a sequence) is solved by column generation: the dual
    prices of the lengths are the values of an unbounded knapsack, whose dynamic program finds the pattern
-   that gains most. It starts from patterns that exhaust one length each and ends when the program's value is
-   within `GAP` of a lower bound (the tokens, or the bound that the best price gives).
+   that gains most. It starts from patterns that exhaust one length each and ends when no pattern gains, or when its
+   value is a lower bound (the tokens, or what the prices prove) rounded up, or within `GAP` of one.
 3. Patterns are used as often as the rounded-down solution says; what remains, some sequences for each length
    at most, is placed by best fit or pattern by pattern, whichever pads less.
 4. If padding stays above `target`, tails are first cut at the largest power of two they hold, then at the
    next one, and so on; at the last level every piece is a power of two. The checksums of the pieces of every
    level are taken while the ids are at hand, so no text is encoded twice.
-5. Pieces are ranked within their length by salted buckets (a length that a third of all documents share is
-   ranked in many tasks) and looked up in the table of patterns, which is bounded by the capacity and is
+5. Pieces are ranked within their length by buckets of row numbers (a length, or a text, that a third of all documents
+   share is ranked in many tasks) and looked up in the table of patterns, which is bounded by the capacity and is
    broadcast.
 
 Null text counts as empty: its document is the end id alone. Repeated rows are packed each for itself, null
@@ -32,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import unused
 from .storage import written
 from .tokenizing import PieceEncoder, balanced, ids_bytes
 
 #: Column generation ends at this share between the program's value and its lower bound.
 GAP = 0.0005
-#: Columns that are generated at most; the plan is whole and right after any number of them.
-ROUNDS = 300
+#: Guard against a program that rounding errors keep from ending; 584 lengths took 9,000 columns to the optimum, 25 seconds.
+ROUNDS = 50_000
+#: Columns after which the inverse of the basis is computed anew.
+REFRESHED = 100
 #: Rows of a length that one ranking task should get.
 RANKED_ROWS = 200_000
 
@@ -151,34 +154,52 @@ def started(need: dict[int, int], capacity: int) -> list[tuple[dict[int, int], f
 
 
 def relaxed(need: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used, possibly in part: the linear program by revised simplex and column generation."""
+    """Patterns and how often each is used, possibly in part: the linear program by revised simplex and column generation.
+
+    Many solutions have patterns that are used zero times, and a pivot on one of those changes nothing. So ties of the ratio
+    test are broken by a second right-hand side, an infinitely small random surplus of the starting patterns, which
+    every pivot lowers: the program moves on and ends at its optimum, and the first right-hand side stays exact.
+    """
     lengths = np.array(sorted(need))
     place, m = {int(x): i for i, x in enumerate(lengths)}, len(lengths)
     demand = np.array([need[int(x)] for x in lengths], dtype=float)
-    start = started(need, capacity)
-    patterns, use = [p for p, _ in start], np.array([t for _, t in start])
-    basis = np.zeros((m, m))
-    for k, p in enumerate(patterns):
-        basis[[place[x] for x in p], k] = list(p.values())
-    inverse = np.linalg.inv(basis)
-    sack = Knapsack(lengths, capacity)
-    for _ in range(ROUNDS):
-        if use.sum() <= (1 + GAP) * float(lengths @ demand) / capacity:
-            break
-        prices = inverse.sum(axis=0)
-        value, pattern = sack.best(np.maximum(prices, 0))
-        if value <= 1 + GAP:
+
+    def columns(patterns: list[dict[int, int]]) -> np.ndarray:
+        out = np.zeros((m, len(patterns)))
+        for k, p in enumerate(patterns):
+            out[[place[x] for x in p], k] = list(p.values())
+        return out
+
+    patterns = [p for p, _ in started(need, capacity)]
+    basis = columns(patterns)
+    surplus = basis @ np.random.default_rng(m).uniform(0.5, 1, m)
+    sack, bound = Knapsack(lengths, capacity), float(lengths @ demand) / capacity
+
+    def solved() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inverse = np.linalg.inv(columns(patterns))
+        return inverse, np.maximum(inverse @ demand, 0), inverse @ surplus
+
+    inverse, use, second = solved()
+    for k in range(1, ROUNDS + 1):
+        if k % REFRESHED == 0:  # Rounding errors of the updates don't add up.
+            inverse, use, second = solved()
+        prices = np.maximum(inverse.sum(axis=0), 0)
+        value, pattern = sack.best(prices)
+        bound = max(bound, float(prices @ demand) / max(value, 1.0))
+        if value <= 1 + 1e-6 or use.sum() <= max(np.ceil(bound - 1e-6), (1 + GAP) * bound):
             break
-        enter = sum(n * inverse[:, place[x]] for x, n in pattern.items())
-        ratio = np.where(enter > 1e-9, use / np.where(enter > 1e-9, enter, 1), np.inf)
-        r = int(ratio.argmin())
-        if not np.isfinite(ratio[r]):
+        enter = inverse @ columns([pattern])[:, 0]
+        safe = np.where(enter > 1e-7, enter, np.inf)
+        ratio = np.where(enter > 1e-7, use / safe, np.inf)
+        if not np.isfinite(ratio.min()):
             break
-        row, theta = inverse[r] / enter[r], use[r] / enter[r]
+        tied = ratio <= ratio.min() + 1e-9 * max(1.0, ratio.min())
+        r = int(np.where(tied, second / safe, np.inf).argmin())
+        row, theta, theta2 = inverse[r] / enter[r], use[r] / enter[r], second[r] / enter[r]
         inverse -= np.outer(enter, row)
         inverse[r] = row
-        use = np.maximum(use - theta * enter, 0)
-        use[r] = theta
+        use, second = np.maximum(use - theta * enter, 0), second - theta2 * enter
+        use[r], second[r] = theta, theta2
         patterns[r] = pattern
     return list(zip(patterns, use.tolist(), strict=True))
 
@@ -246,7 +267,9 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
-    rows = written(encoded(docs, vocabulary, end_id, capacity, id_col, text_col), "encoded")
+    rows = encoded(docs, vocabulary, end_id, capacity, id_col, text_col)
+    row = unused(rows.columns, "row")
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "encoded")
     # At most `capacity` rows, whatever the input.
     counts = rows.groupBy((F.col("doc_tokens") % capacity).alias("tail")).agg(F.count("*").alias("n"), F.sum("doc_tokens").alias("tokens")).collect()
     total, n_rows = sum(x["tokens"] for x in counts), sum(x["n"] for x in counts)
@@ -275,11 +298,11 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
         F.when(tail > done, F.array(F.struct((whole + done).alias("start"), (tail - done).alias("length"), F.get("rests", n_bits).alias("crc")))).otherwise(F.array().cast("array<struct<start:long,length:long,crc:long>>")),
     )
     salt = max(8, -(-n_rows // RANKED_ROWS))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col), F.col("doc_tokens"), F.col("rests")), F.lit(salt)).cast("int"))
-    tails = dealt.select(F.col(id_col).alias("id"), "doc_tokens", "bucket", F.explode(pieces).alias("p")).select("id", "doc_tokens", "bucket", "p.start", "p.length", "p.crc")
+    dealt = rows.withColumn("bucket", F.pmod(row, F.lit(salt)).cast("int"))
+    tails = dealt.select(F.col(id_col).alias("id"), F.col(row).alias("row"), "doc_tokens", "bucket", F.explode(pieces).alias("p")).select("id", "row", "doc_tokens", "bucket", "p.start", "p.length", "p.crc")
     by_bucket = tails.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = by_bucket.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    ranked = tails.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("id", "start", "doc_tokens", "crc")) - 1).join(before, ["length", "bucket"])
+    ranked = tails.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("row", "start")) - 1).join(before, ["length", "bucket"])
     ranked = ranked.select("id", "doc_tokens", "start", "length", "crc", (F.col("rank") + F.col("before")).alias("rank"))
     inside = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))
     nth = F.col("rank") - F.col("first")
@@ -291,7 +314,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     full = dealt.where(F.size("full") > 0)
     sums = full.groupBy("bucket").agg(F.sum(runs_of).alias("n"))
     base = sums.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"))
-    numbered = full.withColumn("upto", F.sum(runs_of).over(W.partitionBy("bucket").orderBy(id_col, "doc_tokens", "full").rowsBetween(W.unboundedPreceding, -1))).join(F.broadcast(base), "bucket")
+    numbered = full.withColumn("upto", F.sum(runs_of).over(W.partitionBy("bucket").orderBy(row).rowsBetween(W.unboundedPreceding, -1))).join(F.broadcast(base), "bucket")
     numbered = numbered.select(F.col(id_col).alias("id"), "doc_tokens", (F.lit(sequence) + F.col("before") + F.coalesce("upto", F.lit(0))).alias("first"), F.posexplode("full").alias("k", "crc"))
     whole_rows = numbered.select(F.col("id").alias(id_col), (F.col("k") * F.lit(capacity).cast("long")).alias("start"), F.lit(capacity).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(whole_rows)

@@ -99,3 +99,41 @@ def test_linear_program_reaches_its_bound():
     used = {x: sum(p.get(x, 0) * t for p, t in plan) for x in need}
     assert all(abs(used[x] - need[x]) < 1e-6 for x in need)
     assert sum(t for _, t in plan) <= 1.02 * max(100, sum(k * v for k, v in need.items()) / 1024)
+
+
+def padded(need, monkeypatch, rounds):
+    monkeypatch.setattr(packing, "ROUNDS", rounds)
+    found = packing.relaxed(need, 1024)
+    for x, n in need.items():
+        assert abs(sum(p.get(x, 0) * t for p, t in found) - n) < 1e-6 * n
+    return sum(t for _, t in found) * 1024 / sum(x * n for x, n in need.items())
+
+
+def test_generated_columns_lower_the_value(monkeypatch):
+    """Lengths as skewed as those of documents: columns must bring the start, most of whose patterns tie, close to the bound."""
+    r = random.Random(11)
+    need = defaultdict(int)
+    for _ in range(260):
+        need[min(1023, int(r.lognormvariate(5.9, 0.7)) + 1)] += 400
+    start, end = padded(need, monkeypatch, 0), padded(need, monkeypatch, 50_000)
+    assert end < start - 0.005
+    assert end < 1 + (start - 1) / 2
+
+
+def test_equal_rows_are_whole(spark, vocabulary):
+    """Rows that can't be told apart, nulls among them, are spread over the buckets and packed each for itself."""
+    docs = spark.createDataFrame([(None, None)] * 500 + [(7, "same words " * 900)] * 40, "doc_id long, text string").repartition(4)
+    found = packing.packed(docs, vocabulary, capacity=64).collect()
+    assert sum(r["doc_id"] is None for r in found) == 500
+    size = {r["doc_tokens"] for r in found if r["doc_id"] == 7}
+    assert len(size) == 1
+    assert sum(r["length"] for r in found if r["doc_id"] == 7) == 40 * size.pop()
+    taken = defaultdict(list)
+    for r in found:
+        taken[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in taken.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
