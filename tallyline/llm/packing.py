@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .rows import unused
 from .storage import written
-from .tokenizing import PieceEncoder, balanced, ids_bytes
+from .tokenizing import balanced, ids_bytes, remembering
 
 #: Column generation ends at this share between the program's value and its lower bound.
 GAP = 0.0005
@@ -73,7 +73,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col
         return n, full, bits, rests
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, ids_bytes, b"".join)
+        encoder = remembering(vocabulary, ids_bytes, b"".join)
         for outer in batches:
             for batch in balanced(outer, 1):
                 texts = pc.fill_null(batch.column(1), "").to_pylist()

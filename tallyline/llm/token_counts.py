@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizing import PieceEncoder, balanced
+from .tokenizing import balanced, remembering
 
 
 def token_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,7 +24,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("tl_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, len, sum)
+        encoder = remembering(vocabulary, len, sum)
         for whole in batches:
             for batch in balanced(whole, 1):
                 texts = pc.fill_null(batch.column(1), "")

@@ -3,8 +3,8 @@
 The pre-tokenizer of the byte-level vocabulary never lets a token cross from a character into a single
 space that a non-space follows: ` ?\\p{L}+` and its relatives take the space with what follows it. A text
 may therefore be cut before each such space, encoded piece by piece, and the ids joined. Texts repeat
-most of their pieces, so each piece is encoded once per worker and then looked up. That also bounds what
-the encoder gets at once, however long a text is.
+most of their pieces, so each piece is encoded once per worker and then looked up, by the worker's later tasks
+too. That also bounds what the encoder gets at once, but for a text without spaces, which is one piece.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once.
 BATCH_BYTES = 2 << 20
-#: Pieces a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Pieces, and characters of pieces, that a worker remembers; the memory is emptied when it is full.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 24_000_000
 #: A space before another white space or at the end: the pieces between plain spaces aren't safe there.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 SAFE_CUT = re.compile(r" (?=\S)")
@@ -72,6 +72,7 @@ class PieceEncoder:
         self.inner: dict[str, object] = {}
         self.heads: dict[str, object] = {}
         self.parts: dict[str, object] = {}
+        self.chars = 0
         vocabulary = self.encoder.get_vocab()
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for x, i in vocabulary.items() if x.startswith(SPACE)]] = True
@@ -94,14 +95,17 @@ class PieceEncoder:
             for at in range(0, len(some), 2048):
                 part = some[at : at + 2048]
                 self.parts.update(zip(part, map(self.kept, self._ids(part, some is led)), strict=True))
+        self.chars += sum(map(len, new)) + sum(len(x) for x, _ in cuts)
         look, joined = self.parts.__getitem__, self.joined
         known.update([(x, look(y[0]) if len(y) == 1 else joined(map(look, y))) for x, y in cuts])
 
     def values(self, texts: list[str]) -> Iterator[list[object]]:
         """For each text the stored values of its pieces, in order."""
-        for known in (self.inner, self.heads, self.parts):
-            if len(known) > REMEMBERED:
+        memories = (self.inner, self.heads, self.parts)
+        if self.chars > REMEMBERED_CHARS or sum(map(len, memories)) > REMEMBERED:
+            for known in memories:
                 known.clear()
+            self.chars = 0
         cuts = [cut(x) for x in texts]
         heads = [x.pop(0) for x in cuts]
         self._learn(self.heads, set(heads), "")
@@ -120,5 +124,11 @@ class PieceEncoder:
             yield some
 
 
+@lru_cache(maxsize=2)
+def remembering(path: str, kept: Callable[[list[int]], object], joined: Callable[[Iterator], object]) -> PieceEncoder:
+    """The process's encoder of this kind: what one task has learnt, the worker's next one knows."""
+    return PieceEncoder(path, kept, joined)
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)

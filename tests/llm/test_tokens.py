@@ -137,3 +137,20 @@ def test_equal_rows_are_whole(spark, vocabulary):
             assert offset == at
             at += length
         assert at <= 64
+
+
+def test_memory_is_emptied(library, vocabulary, monkeypatch):
+    """A full memory, by pieces or by characters, changes no result, and one encoder serves later calls."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(1, 12))) for _ in range(200)) for _ in range(30)]
+    wanted = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for name in ("REMEMBERED", "REMEMBERED_CHARS"):
+        monkeypatch.setattr(tokenizing, name, 1000)
+        encoder = tokenizing.remembering(vocabulary, tokenizing.ids_bytes, b"".join)
+        assert encoder is tokenizing.remembering(vocabulary, tokenizing.ids_bytes, b"".join)
+        for _ in range(2):
+            for at in range(0, len(texts), 3):
+                found = encoder.values(texts[at : at + 3])
+                assert [b"".join(x) for x in found] == [tokenizing.ids_bytes(x) for x in wanted[at : at + 3]]
+        assert encoder.chars <= 1000 + sum(len(x) for x in texts[-3:]) * 4 if name.endswith("CHARS") else len(encoder.inner) <= 1000 + 700
+        monkeypatch.undo()
