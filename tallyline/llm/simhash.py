@@ -10,10 +10,12 @@ are searched breadth first in the task that has them, which returns a spanning f
 than all pairs: the rows grow with the group, not with its square, and no link between components is lost.
 The forests are joined up by `components`.
 
-`near_copies` is for copies by similarity: its fingerprints of `WORD_BITS` bits are those of a text's distinct words,
-which a changed word moves less than shingles; they meet under the same variants of segments, and the exact Jaccard
-similarity of word shingles decides (five words and 0.8). A pair at 0.8 meets with a probability of about 0.8, at 0.9 of
-0.97 and more, by the bits that the changed words move.
+`near_copies` is for copies by similarity, where the exact Jaccard similarity of word shingles decides (five words and
+0.8). Bits of a SimHash don't find these: at 0.8 a segment of 32 bits differs in more than one. So its signatures are least
+hashes of the shingles, one for each of `SEGMENTS` x `VALUES` hash functions; in a segment of `VALUES` of them one may differ,
+and the variants that leave one value out meet in an equality join. A value is equal with a probability of the similarity,
+whatever was changed: a pair at 0.8 meets with 0.995, at 0.9 with 0.9999. What meets under a crowded key is refined by
+rare shingles (`components.refined`), which misses no pair of the similarity.
 
 Null text counts as empty, and the empty text's fingerprint is zero, linked like any other. Null ids get a
 component but never name one (a component of null ids alone is null). Repeated rows give a row each. An empty
@@ -40,8 +42,10 @@ SEED = 42
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 15
 BITS, SEGMENT = 64, 32
-#: Bits of the fingerprints of near_copies, and what decides there.
-WORD_BITS, WIDTH, LEAST = 128, 5, 0.8
+#: Segments of the signatures of near_copies, least hashes in each, and what decides there.
+SEGMENTS, VALUES, WIDTH, LEAST = 4, 5, 5, 0.8
+#: A hash function of hashes is a multiplication by one of these odd numbers.
+ODD = np.array([xxhash.xxh64_intdigest(b"least %d" % k) | 1 for k in range(SEGMENTS * VALUES)], dtype=np.uint64)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -158,18 +162,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
     return prints.join(named, "bits").select(id_col, "bits", "component_id")
 
 
-def word_print(text: str) -> np.ndarray:
-    """The bits of distinct words, as WORD_BITS // 64 longs."""
-    words = list(set(text.encode().lower().split()))
-    votes = np.zeros(WORD_BITS, dtype=np.int64)
-    for at in range(0, len(words), COUNTED):
-        data = b"".join(xxhash.xxh3_128_digest(w, SEED) for w in words[at : at + COUNTED])
-        votes += np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(-1, WORD_BITS // 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > len(words)).view("<i8")
+def signature_keys(hashes: np.ndarray) -> list[int]:
+    """A negative long for each segment of the least hashes and each value that is left out of it; none without hashes."""
+    if not len(hashes):
+        return []
+    least = np.array([(hashes * m).min() for m in ODD], dtype="<u8").reshape(SEGMENTS, VALUES)
+    parts = [(b"%d %d " % (k, j), np.delete(x, j)) for k, x in enumerate(least) for j in range(VALUES)]
+    return [-1 - (xxhash.xxh64_intdigest(name + x.tobytes()) >> 1) for name, x in parts]
 
 
 def _prepared(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, key: of the row, a, b: hashes of the text's words, bits, parts: its distinct shingles' hashes, sorted) for each row."""
+    """(id_col, key: of the row, a, b: hashes of the text's words, keys: of its signature, parts: its distinct shingles' hashes, sorted) for each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +182,13 @@ def _prepared(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 for text in pc.fill_null(batch.column(1), "").to_pylist():
                     own = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, width)), "<u8"))
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())), "<i8")
-                    out.append((int(a), int(b), word_print(text).tolist(), own.tobytes()))
+                    out.append((int(a), int(b), signature_keys(own), own.tobytes()))
                 cols = zip(*out, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["id", "key", "a", "b", "bits", "parts"])
+                yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=["id", "key", "a", "b", "keys", "parts"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(prepare, f"id {kind}, key struct<k1:long,k2:long>, a long, b long, bits array<long>, parts binary")
+    return rows.mapInArrow(prepare, f"id {kind}, key struct<k1:long,k2:long>, a long, b long, keys array<long>, parts binary")
 
 
 #: Jaccard distances are whole numbers of this part, rounded up.
@@ -208,6 +211,17 @@ def _distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", F.col("limit").cast("long").alias("limit"), "s", "t").mapInArrow(compare, "u long, v long, d long, least long")
 
 
+def _exploded(parts: DataFrame) -> DataFrame:
+    """(node, space, f): a row for each hash of parts."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(s, "<i8")
+                yield pa.record_batch([pa.array(np.full(len(own), node)), pa.array(np.zeros(len(own), dtype=np.int32)), pa.array(own)], names=["node", "space", "f"])
+
+    return parts.select("node", "parts").mapInArrow(explode, "node long, space int, f long")
+
+
 def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, key: of the row, component_id) for each row: the least id of the documents that near copies reach.
 
@@ -215,19 +229,21 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     ids are null. Repeated rows give a row each; an empty table gives an empty result.
     """
     rows = written(_prepared(docs, width, id_col, text_col), "prepared")
-    nodes = rows.groupBy("a", "b").agg(F.min("id").alias("least"), F.first("bits").alias("bits"), F.first("parts").alias("parts"))
+    nodes = rows.groupBy("a", "b").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = [v for k in range(WORD_BITS // 64) for v in _wildcards(F.col("bits")[k], 64 * k)]
-    keys = written(nodes.select(F.explode(F.array(*keys)).alias("key"), "node"), "keys")
+    keys = written(nodes.select(F.explode("keys").alias("key"), "node"), "keys")
     parts = nodes.select("node", "parts")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return _distances(pairs.join(parts.toDF("u", "s"), "u").join(parts.toDF("v", "t"), "v"))
 
+    def of_nodes(some: DataFrame) -> DataFrame:
+        return _exploded(parts.join(some, "node", "left_semi"))
+
     keyed = met(keys)
     released(keys)
     limit = F.lit(round((1 - least) * PART)).cast("long")
-    found = grouped(keyed, nodes.select("node", F.lit(0).cast("long").alias("size")), compared, lambda _: limit)
+    found = grouped(keyed, nodes.select("node", F.lit(0).cast("long").alias("size")), compared, lambda _: limit, of_nodes, least)
     of = nodes.join(found, "node", "left").select("a", "b", "least", F.coalesce("component", "node").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("a", "b", "component_id")
     out = written(rows.select("id", "key", "a", "b").join(named, ["a", "b"]).select(F.col("id").alias(id_col), "key", "component_id"), "copies")
