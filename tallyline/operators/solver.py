@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import PARTS
 from .reconcile import zero
 
 ORDERS = ("source", "source_reversed", "date", "date_reversed")
@@ -42,7 +43,8 @@ def _with(ledger: DataFrame, **tables: DataFrame | None) -> DataFrame:
 
 def _variants(rows: DataFrame) -> DataFrame:
     """Every row in every order: its place, the balance known before it, its run, and how many rows and balances the run has."""
-    orders = []
+    # Every row becomes four and wider here, so parts that Spark makes of so many bytes before would be too large after.
+    rows, orders = rows.repartition(PARTS, "statement_id"), []
     for k, name in enumerate(ORDERS):
         w = W.partitionBy("statement_id").orderBy(*_order(name))
         above = w.rowsBetween(W.unboundedPreceding, -1)

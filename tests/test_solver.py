@@ -3,7 +3,10 @@
 import itertools
 import random
 
-from tallyline.operators import solver
+from pyspark.sql import functions as F
+
+from tallyline.operators import selection, solver
+from tallyline.operators.joins import PARTS
 
 SCHEMA = "statement_id string, source_seq long, date date, debit double, credit double, balance double, opening double, closing double"
 
@@ -124,3 +127,10 @@ def test_runs_without_proof_keep_their_sides(spark):
     rows = [("a", 0, day, 5.0, None, None, None, None), ("a", 1, day, 7.0, None, 100.0, None, None), ("a", 2, day, None, 3.0, None, None, None), ("b", 0, day, 1.0, None, None, 9.0, None)]
     found = solver.solve(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(found) == 4 and not any(r["swapped"] for r in found)
+
+
+def test_rows_are_dealt_into_many_parts_before_they_widen(spark):
+    """Parts of the four orders aren't those that Spark makes of the narrow rows' bytes."""
+    rows = spark.createDataFrame([("s", k, None, None, 5.0, 5.0 * (k + 1)) for k in range(9)], "statement_id string, source_seq long, date date, debit double, credit double, balance double")
+    assert solver.solve_printed(rows).rdd.getNumPartitions() == PARTS
+    assert selection._single(rows.withColumn("method", F.lit("a"))).rdd.getNumPartitions() == PARTS
