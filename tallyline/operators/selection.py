@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import candidates as C
 from . import gates
+from .joins import PARTS
 from .reconcile import balance_check, evidence_order, repair_movement, repair_side, runs_back
 
 #: The name of rows put together from several candidates.
@@ -28,7 +29,8 @@ def proven(least: float = 0.95) -> Column:
 def _single(candidates: DataFrame) -> DataFrame:
     """Candidates as statements of their own: own is the statement, statement_id the candidate."""
     rows = candidates.withColumns({"own": F.col("statement_id"), "statement_id": F.concat_ws("\u0001", "statement_id", "method")})
-    return rows if "source_text" in rows.columns else rows.withColumn("source_text", F.lit(None).cast("string"))
+    rows = rows if "source_text" in rows.columns else rows.withColumn("source_text", F.lit(None).cast("string"))
+    return rows.repartition(PARTS, "statement_id")  # many windows widen the rows, so parts are of rows and not of the bytes before
 
 
 def repaired(rows: DataFrame) -> DataFrame:
