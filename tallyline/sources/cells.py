@@ -54,7 +54,9 @@ def standardize(cells: DataFrame, head: DataFrame | None = None) -> DataFrame:
     body = body.where(~F.col("combined") | side)
     wide = body.groupBy(*SHEET, "row").pivot("target", list(SYNONYMS)).agg(F.first("value"))
     amounts = {c: F.abs(T.money(F.col(c))) for c in ("debit", "credit")} | {"balance": T.money(F.col("balance"))}
-    out = wide.withColumns(amounts | {"date": T.parse_date(F.col("date"))})
+    # From a generator: a projection would be put into the filter and again into what is selected.
+    values = F.inline(F.array(F.struct(*(v.alias(k) for k, v in (amounts | {"date": T.parse_date(F.col("date"))}).items()))))
+    out = wide.select(*SHEET, "row", "narration", "reference", values)
     out = out.where(F.coalesce(F.col("debit"), F.col("credit"), F.col("balance"), F.col("date").cast("timestamp").cast("double")).isNotNull())
     return out.select("statement_id", F.col("row").cast("long").alias("source_seq"), F.col("sheet").alias("source_sheet"), "date", F.coalesce("narration", F.lit("")).alias("narration"), "reference", "debit", "credit", "balance")
 

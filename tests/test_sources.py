@@ -52,3 +52,12 @@ def test_ragged_tables(spark):
     rows = [("s", 1, t, r, c) for t, table in enumerate((one, two)) for r, c in enumerate(table)]
     found = S.standardize_tables(spark.createDataFrame(rows, "statement_id string, page int, table_no int, row int, cells array<string>")).orderBy("source_seq").collect()
     assert [(r["narration"], r["debit"], r["credit"], r["balance"], r["source_row"], r["source_page"]) for r in found] == [("A", 5.0, None, None, 2, 1), ("B", None, 7.0, 12.0, 3, 1), ("", None, None, None, 6, 1)]
+
+
+def test_values_of_cells_are_parsed_once(spark):
+    """Dates and amounts aren't parsed again for the filter that looks for rows without any."""
+    grid = [["Date", "Narration", "Debit", "Credit", "Balance"], ["05-01-2024", "a", "5.00", None, "95.00"], [None, "b", None, None, None]]
+    cells = spark.createDataFrame([("s", "x", r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row) if v is not None], "statement_id string, sheet string, row int, col int, value string")
+    found = S.standardize(cells)
+    assert [(r["source_seq"], r["debit"], r["balance"]) for r in found.collect()] == [(1, 5.0, 95.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("d-M-yyyy") == 1
