@@ -95,7 +95,13 @@ TORN_YEAR_Y = 400.0
 def lines(words: DataFrame, step: float = 2.0) -> DataFrame:
     """Words of one rounded height as a line: its words from left to right, and its text."""
     y = F.bround(F.col("y0") / step) * step
-    return _as_lines(words.repartition(*PAGE), y)
+    return _as_lines(words, y).repartition(*PAGE)
+
+
+def _of_pages(words: DataFrame) -> DataFrame:
+    """Words of some page. Layouts and rows are both made of all columns of all lines of these, so that Spark makes and
+    shuffles the lines once: a filter or a choice of columns on one side would be moved below the shuffle and make two of it."""
+    return words.where(F.col("statement_id").isNotNull() & F.col("page").isNotNull())
 
 
 def _as_lines(words: DataFrame, y: Column) -> DataFrame:
@@ -135,8 +141,7 @@ def _once(df: DataFrame, **values: Column) -> DataFrame:
 
 def terms_of(line: Column, terms: tuple[str, ...]) -> Column:
     """How many of the terms a line holds."""
-    name = T.norm(line)
-    return reduce(lambda a, b: a + b, (name.contains(t).cast("int") for t in terms))
+    return T.let(T.norm(line), lambda name: reduce(lambda a, b: a + b, (name.contains(t).cast("int") for t in terms)))
 
 
 def header_lines(page_lines: DataFrame, profile: Profile = POSITIONS, least: int = 3) -> DataFrame:
@@ -171,7 +176,12 @@ def _word(tokens: tuple[str, ...]) -> str:
 
 def columns_of(headers: DataFrame, profile: Profile = POSITIONS) -> DataFrame:
     """(statement_id, page, header_y, centres: array of (x, place, column), sorted) of headers that name a date, a balance and
-    a movement; other headers are left out.
+    a movement; other headers are left out."""
+    return _centred(headers, profile).where(F.col("centres").isNotNull()).select(*PAGE, F.col("y").alias("header_y"), "centres")
+
+
+def _centred(headers: DataFrame, profile: Profile) -> DataFrame:
+    """headers with their centres, null where they don't name a date, a balance and a movement, or have no words.
 
     A column's centre is that of its first phrase found, else of the first word that names it. Withdrawals and deposits
     that are headed as one column, by a phrase or as good as one place, are a movement column whose amounts say CR or DR.
@@ -187,7 +197,7 @@ def columns_of(headers: DataFrame, profile: Profile = POSITIONS) -> DataFrame:
     each = F.expr(f"array({', '.join(f"struct(cast({centre[c]} as double) as x, {k} as place, '{c}' as column)" for k, c in enumerate(COLUMNS))})")
     rows = _once(rows, centres=F.sort_array(F.filter(each, lambda c: c["x"].isNotNull())))
     has = lambda *names: F.exists("centres", lambda c: c["column"].isin(*names))
-    return rows.where(has("date") & has("balance") & has(*MOVED)).select(*PAGE, F.col("y").alias("header_y"), "centres")
+    return rows.withColumn("centres", F.when(has("date") & has("balance") & has(*MOVED), F.col("centres")))
 
 
 #: SQL for an array of (column, low, high) that meet halfway between neighbouring `centres`; the outer ones are open.
@@ -211,9 +221,12 @@ def page_layouts(page_lines: DataFrame, profile: Profile, shares: dict[str, floa
     """
     scale = F.max("width") if "width" in page_lines.columns else F.max(F.array_max(F.transform("words", lambda w: w["x1"])))
     year = F.get(F.transform(F.filter("words", lambda w: w["text"].rlike(YEAR)), lambda w: F.struct(w["x0"].alias("x"), w["text"].alias("year"))), 0)
-    pages = page_lines.groupBy(*PAGE).agg(scale.cast("double").alias("width"), F.min(F.when(F.col("y") > TORN_YEAR_Y, year))["year"].alias("year"))
-    own = columns_of(header_lines(page_lines, profile), profile)
-    rows = pages.join(own, PAGE, "left")
+    # The line of `header_lines`, and what else a page has for its layout, in one grouping.
+    some = _once(page_lines, terms=terms_of(F.col("line"), profile.terms))
+    head = F.max_by(F.struct("y", "words"), F.when(F.col("terms") >= 3, F.struct("terms", -F.col("y"))))
+    pages = some.groupBy(*PAGE).agg(scale.cast("double").alias("width"), F.min(F.when(F.col("y") > TORN_YEAR_Y, year))["year"].alias("year"), head.alias("h"))
+    rows = _centred(pages.select(*PAGE, "width", "year", "h.*"), profile)
+    rows = rows.select(*PAGE, "width", "year", "centres", F.when(F.col("centres").isNotNull(), F.col("y")).alias("header_y"))
     times = lambda c, by: F.transform(c, lambda x: x.withField("x", x["x"] * by))
     w = W.partitionBy("statement_id").orderBy("page")
     kept = times(F.col("centres"), 1 / F.col("width")) if scaled else F.col("centres")
@@ -228,10 +241,15 @@ def page_layouts(page_lines: DataFrame, profile: Profile, shares: dict[str, floa
     return _once(rows.select(*PAGE, "width", "header_y", "centres", "torn_year"), bands=F.expr(MIDWAY))
 
 
-def placed(page_lines: DataFrame, layouts: DataFrame, below: float) -> DataFrame:
-    """Lines under their page's header with cells: their words' centres, texts and columns, from left to right."""
-    rows = page_lines.drop("width").join(layouts, PAGE).where((F.col("header_y") < 0) | (F.col("y") > F.col("header_y") + below))
+def _under(below: float) -> Column:
+    """Whether a line stands under its page's header."""
+    return (F.col("header_y") < 0) | (F.col("y") > F.col("header_y") + below)
 
+
+def placed(page_lines: DataFrame, layouts: DataFrame, below: float, token: Column) -> DataFrame:
+    """Lines under their page's header that have a token, with it and cells: their words' centres, texts and columns, from left to right."""
+    rows = page_lines.drop("width").join(layouts, PAGE).where(_under(below))
+    rows = _once(rows, token=token).where(F.col("token").isNotNull())
     return _once(rows, cells=F.expr(CELLS)).drop("words", "bands")
 
 
@@ -251,18 +269,22 @@ def _last_money(texts: Column) -> Column:
 def cell_amount(texts: Column) -> Column:
     """Amount of a cell whose number a reader may have split, without its sign: neighbours that break a number (one ends or
     the next begins with a point or comma) are one, and the rightmost that is an amount wins; else the end of all of them."""
-    clean = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, "₹", "")))
 
     def fold(done: Column, t: Column) -> Column:
         last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
         torn = (last.rlike(r"\d[.,]$") & t.rlike(r"^\d")) | (last.rlike(r"\d$") & t.rlike(r"^[.,]\d"))
         return F.when(torn, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, t)))).otherwise(F.concat(done, F.array(t)))
 
-    whole = F.aggregate(clean, F.array().cast("array<string>"), fold)
     value = lambda t: F.abs(T.text_money(t))
-    good = F.filter(whole, lambda t: t.rlike(AMOUNT) & value(t).isNotNull())
-    rest = F.nullif(F.regexp_extract(F.regexp_replace(F.array_join(clean, ""), " ", ""), r"(?i)(\d[\d,]*(?:\.\d+)?(?:CR|DR)?)$", 1), F.lit(""))
-    return F.coalesce(value(F.get(good, F.size(good) - 1)), value(rest))
+
+    def amount(clean: Column) -> Column:
+        whole = F.when(F.size(clean) == 1, clean).otherwise(F.aggregate(clean, F.array().cast("array<string>"), fold))
+        good = F.filter(F.transform(F.filter(F.reverse(whole), lambda t: t.rlike(AMOUNT)), value), lambda v: v.isNotNull())
+        rest = F.regexp_extract(F.regexp_replace(F.array_join(clean, ""), " ", ""), r"(?i)(\d[\d,]*(?:\.\d+)?(?:CR|DR)?)$", 1)
+        return F.coalesce(F.get(good, 0), T.let(F.nullif(rest, F.lit("")), value))
+
+    clean = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, "₹", "")))
+    return T.let(clean, lambda c: F.when(F.size(c) > 0, amount(c)))
 
 
 def row_date(line: Column) -> Column:
@@ -292,13 +314,27 @@ def position_rows(words: DataFrame) -> DataFrame:
     movement aren't rows; equal rows of a page count once. Pages before the first header have none. Balances keep
     their sign, movements have none but their side.
     """
-    page_lines = lines(words)
-    rows = placed(page_lines, page_layouts(page_lines, POSITIONS), POSITIONS.below)
+    rows = _positions(words)
+    return rows.where("is_row and first").select(*ROW)
+
+
+#: Columns of the rows of this module.
+ROW = ("statement_id", "source_seq", "source_page", "source_y", "source_text", "date", "narration", "reference", "debit", "credit", "balance")
+
+
+def _positions(words: DataFrame, continued: bool = False) -> DataFrame:
+    """The lines of `position_rows` (is_row, and first: the first of equal rows of a page), ordered within their statement by
+    source_page and source_y; continued: with the lines that may go on with a narration (goes_on), wherever they stand."""
+    page_lines = lines(_of_pages(words))
+    rows = page_lines.join(page_layouts(page_lines, POSITIONS), PAGE, "left" if continued else "inner")
     torn = F.regexp_extract("line", r"^\s*(\d{1,2}[-/.]\d{1,2}[-/.])", 1)
-    rows = rows.where((torn != "") & (terms_of(F.col("line"), REPEATED) < 3))
+    rows = _once(rows, torn=F.when(_under(POSITIONS.below), F.nullif(torn, F.lit(""))), goes_on=T.is_continuation(F.col("line")) if continued else F.lit(False))
+    rows = rows.where("torn is not null or goes_on")
+    rows = _once(rows, cells=F.when(F.col("torn").isNotNull() & (terms_of(F.col("line"), REPEATED) < 3), F.expr(CELLS))).drop("words", "bands")
+    rows = rows.where("cells is not null or goes_on")
     of = lambda text: F.nullif(F.regexp_extract(text, f"({DATE})", 1), F.lit(""))
-    token = F.coalesce(of(_joined(_bucket("date"))), of(F.col("line")), F.concat(torn, F.col("torn_year")))
-    rows = _once(rows, date=T.parse_date(token)).where(F.col("date").isNotNull())
+    token = F.coalesce(of(_joined(_bucket("date"))), of(F.col("line")), F.concat("torn", "torn_year"))
+    rows = _once(rows, date=F.when(F.col("cells").isNotNull(), T.parse_date(token))).where("date is not null or goes_on")
 
     # The rightmost amount of a combined column that says which side it is on.
     sided = F.filter(F.reverse(_bucket("movement")), lambda t: F.regexp_replace(F.upper(t), " ", "").rlike(r"(?:DR|CR)\)?$") & T.text_money(t).isNotNull())
@@ -313,17 +349,34 @@ def position_rows(words: DataFrame) -> DataFrame:
     unsided = F.col("debit").isNull() & F.col("credit").isNull()
     beside = lambda word: unsided & F.upper("line").rlike(rf"\b{word}\b")
     rows = rows.withColumns({"debit": F.when(beside("DR"), F.col("only")).otherwise(F.col("debit")), "credit": F.when(beside("CR") & ~beside("DR"), F.col("only")).otherwise(F.col("credit"))})
-    rows = rows.where(F.col("debit").isNotNull() | F.col("credit").isNotNull())
+    rows = _once(rows, is_row=F.col("date").isNotNull() & (F.col("debit").isNotNull() | F.col("credit").isNotNull())).where("is_row or goes_on")
 
-    change = F.col("balance") - F.lag("balance").over(W.partitionBy("statement_id").orderBy("page", "y"))
+    above = W.partitionBy("statement_id").orderBy("page", "y").rowsBetween(W.unboundedPreceding, -1)
+    change = F.col("balance") - F.last(F.when(F.col("is_row"), F.struct("balance")), ignorenulls=True).over(above)["balance"]
     out, into = F.abs(change + F.col("debit")) <= 0.01, F.abs(change - F.col("credit")) <= 0.01
     rows = rows.withColumns({"out": F.coalesce(out & ~into, F.lit(False)), "into": F.coalesce(into & ~out, F.lit(False))})
-    return _source(rows.withColumns({"debit": F.when(~F.col("into"), F.col("debit")), "credit": F.when(~F.col("out"), F.col("credit"))}))
+    rows = rows.withColumns({"debit": F.when(~F.col("into"), F.col("debit")), "credit": F.when(~F.col("out"), F.col("credit"))})
+    nth = F.sum(F.col("is_row").cast("int")).over(W.partitionBy(*PAGE).orderBy("y").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("source_seq", F.col("page").cast("long") * PAGE_ROWS + nth).withColumnsRenamed({"page": "source_page", "y": "source_y", "line": "source_text"})
+    equal = W.partitionBy("statement_id", "source_page", "is_row", "date", "narration", "debit", "credit", "balance").orderBy("source_seq", "source_y")
+    return rows.withColumn("first", F.row_number().over(equal) == 1).select(*ROW, "is_row", "first", "goes_on")
+
+
+def layout_rows(words: DataFrame, most: int = 8) -> DataFrame:
+    """`position_rows`, each with the lines that go on with its narration, on its page or at the top of the ones after it: the
+    first `most` of them, as `with_continuations` adds them, in one pass over the lines."""
+    rows = _positions(words, continued=True).withColumn("own", F.col("is_row") & F.col("first")).where("own or goes_on")
+    so_far = W.partitionBy("statement_id").orderBy("source_page", "source_y").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("of", F.last(F.when(F.col("own"), F.col("source_seq")), ignorenulls=True).over(so_far)).where("of is not null")
+    own = F.first(F.when(F.col("own"), F.struct(*(c for c in ROW if c != "statement_id"))), ignorenulls=True)
+    more = F.sort_array(F.collect_list(F.when(~F.col("own"), F.struct("source_page", "source_y", F.trim("source_text").alias("t")))))
+    rows = rows.groupBy("statement_id", "of").agg(own.alias("own"), F.transform(F.slice(more, 1, most), lambda s: s["t"]).alias("more"))
+    return rows.select("statement_id", "own.*", "more").withColumn("narration", _appended()).drop("more")
 
 
-def layout_rows(words: DataFrame) -> DataFrame:
-    """`position_rows`, each with the lines that go on with its narration, on its page or at the top of the ones after it."""
-    return with_continuations(position_rows(words), lines(words))
+def _appended() -> Column:
+    """The narration with the texts of `more` that it doesn't hold yet."""
+    return F.aggregate(F.coalesce("more", F.array().cast("array<string>")), F.coalesce("narration", F.lit("")), lambda n, t: F.when(F.contains(n, t), n).otherwise(F.trim(F.concat_ws(" ", n, t))))
 
 
 def with_continuations(rows: DataFrame, page_lines: DataFrame, most: int = 8) -> DataFrame:
@@ -340,8 +393,7 @@ def with_continuations(rows: DataFrame, page_lines: DataFrame, most: int = 8) ->
     more = more.withColumn("source_seq", F.coalesce("own", "before")).where(F.col("source_seq").isNotNull())
     texts = F.slice(F.sort_array(F.collect_list(F.struct("page", "y", F.trim("line").alias("t")))), 1, most)
     more = more.groupBy("statement_id", "source_seq").agg(F.transform(texts, lambda s: s["t"]).alias("more"))
-    appended = F.aggregate(F.coalesce("more", F.array().cast("array<string>")), F.coalesce("narration", F.lit("")), lambda n, t: F.when(F.contains(n, t), n).otherwise(F.trim(F.concat_ws(" ", n, t))))
-    return rows.join(more, ["statement_id", "source_seq"], "left").withColumn("narration", appended).drop("more")
+    return rows.join(more, ["statement_id", "source_seq"], "left").withColumn("narration", _appended()).drop("more")
 
 
 def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool = False) -> DataFrame:
@@ -353,11 +405,11 @@ def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool
     tells stays open until the change of the balance is that amount, from opening (statement_id, opening) on, which also
     turns sides that it disproves; fill: an amount that is missing on both sides is taken from the balances.
     """
-    page_lines = lines(words)
-    rows = placed(page_lines, page_layouts(page_lines, GENERIC, NATIVE_SHARES), GENERIC.below)
-    rows = rows.where(~T.is_noise(F.col("line")))
-    token = F.regexp_extract("line", rf"^\s*({DATE})", 1)
-    rows = _once(rows, date=T.parse_date(F.nullif(token, F.lit("")))).where(F.col("date").isNotNull())
+    page_lines = lines(_of_pages(words))
+    begins = rf"^\s*({DATE})"
+    token = F.when(F.col("line").rlike(begins) & ~T.is_noise(F.col("line")), F.regexp_extract("line", begins, 1))
+    rows = placed(page_lines, page_layouts(page_lines, GENERIC, NATIVE_SHARES), GENERIC.below, token)
+    rows = _once(rows, date=T.parse_date(F.col("token"))).where(F.col("date").isNotNull())
 
     money = f"filter(transform(cells, c -> struct(c.x as x, trim(replace(c.text, '₹', '')) as text, c.column as column)), c -> c.text rlike r'{AMOUNT}')"
     rows = _once(rows, money=F.expr(money)).where(F.expr("exists(money, c -> c.x > width * 0.5)"))
@@ -377,7 +429,8 @@ def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool
         .when(says("DR|DEBIT|WITHDRAWAL|WITHDRAW"), "debit").when(says("CR|CREDIT|DEPOSIT"), "credit")
     )
     amount = F.abs(T.printed_money(F.col("movement.text")))
-    narration, reference = _routed()
+    rows = _once(rows, routed=_routed())
+    narration, reference = (F.expr(f"trim(array_join(transform(filter(routed, c -> c.place = '{kind}'), c -> c.text), ' '))") for kind in "nr")
     rows = _once(rows, debit=F.when(side == "debit", amount), credit=F.when(side == "credit", amount), amount=amount, balance=T.printed_money(F.col("balance_cell.text")), narration=F.coalesce(F.nullif(narration, F.lit("")), F.col("line")), reference=reference)
     rows = _source(rows, "amount")
     if opening is not None:
@@ -390,14 +443,14 @@ def generic_rows(words: DataFrame, opening: DataFrame | None = None, fill: bool
     return repair_side(rows.drop("opening", "amount", "change", "sideless"), opening=opening, fill=fill).drop("flipped", "filled")
 
 
-def _routed() -> tuple[Column, Column]:
-    """Narration and reference of a row: words go by their distances to the centres of both columns; dates, amounts and mere signs go nowhere."""
+def _routed() -> Column:
+    """Words of a row with their places, n for its narration and r for its reference: by their distances to the centres of both
+    columns; dates, amounts and mere signs go nowhere."""
     place = """case when abs(c.x - at_reference) <= greatest(55.0D, at_reference * 0.12D) then 'r' when c.x >= at_narration - 40 and (at_reference is null or c.x < at_reference - 20) then 'n'
       when c.x >= at_narration - 40 then 'r' when at_narration is null then 'n' end"""
     dated = f"(c.text rlike r'^{DATE}$' or coalesce(abs(c.x - at_value) < 35 and c.text rlike r'{DATE}', false))"
     free = rf"filter(cells, c -> c.text rlike r'[\p{{L}}\p{{N}}]' and not c.text rlike r'{AMOUNT}' and not {dated})"
-    of = lambda kind: F.expr(f"trim(array_join(transform(filter({free}, c -> {place} = '{kind}'), c -> c.text), ' '))")
-    return of("n"), of("r")
+    return F.expr(f"transform({free}, c -> struct(c.text as text, {place} as place))")
 
 
 def scanned_rows(words: DataFrame, least_confidence: float = 15.0, reach: float = 18.0) -> DataFrame:
@@ -408,9 +461,9 @@ def scanned_rows(words: DataFrame, least_confidence: float = 15.0, reach: float
     """
     some = words.where(F.trim("text") != "")
     some = some.where(F.col("conf") >= least_confidence) if "conf" in words.columns else some
-    page_lines = running_mean_lines(some, reach)
-    rows = placed(page_lines, page_layouts(page_lines, SCANNED, SCANNED_SHARES, scaled=True), SCANNED.below)
-    rows = rows.where(F.col("line").rlike(DATE) & (terms_of(F.col("line"), REPEATED_SCANNED) < 2))
+    page_lines = running_mean_lines(_of_pages(some), reach).repartition(*PAGE)
+    token = F.when(F.col("line").rlike(DATE) & (terms_of(F.col("line"), REPEATED_SCANNED) < 2), F.lit(True))
+    rows = placed(page_lines, page_layouts(page_lines, SCANNED, SCANNED_SHARES, scaled=True), SCANNED.below, token)
     rows = _once(rows, date=row_date(F.col("line")), **{c: cell_amount(_bucket(c)) for c in ("debit", "credit", "balance")})
     rows = rows.where(F.col("date").isNotNull() & (F.col("debit").isNotNull() | F.col("credit").isNotNull()))
     rest = F.trim(F.regexp_replace("line", rf"^(.*?){DATE}", "$1"))

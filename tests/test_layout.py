@@ -211,3 +211,18 @@ def test_header_rule_in_words():
     for profile in (layout.POSITIONS, layout.GENERIC, layout.SCANNED):
         for phrases in profile.phrases.values():
             assert all(re.findall("[a-z0-9]+", p) for p in phrases)
+
+
+@pytest.mark.parametrize("rows", [layout.position_rows, layout.layout_rows, layout.generic_rows, layout.scanned_rows])
+def test_words_are_read_once(spark, rows):
+    """Layouts, rows and continuing lines come from the same shuffle of lines, not from one each."""
+    words = spark.createDataFrame(drawn([HEAD + [(40, 100, "01/02/2024"), (150, 100, "A"), (400, 100, "500.00"), (600, 100, "1,500.00")]]), WORDS)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert len(rows(words.mapInArrow(counted, words.schema)).collect()) == 1
+    assert read.value == words.count()
