@@ -54,6 +54,13 @@ def held_out(id_col: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
+def split(text: str) -> list[bytes]:
+    """The tokens of a text: its words, then the end."""
+    words = text.encode().lower().split()
+    words.append(END)
+    return words
+
+
 class Reader:
     """Tokens as numbers: the place of a head word, or the hash of another with the sign bit set."""
 
@@ -65,8 +72,7 @@ class Reader:
         return self.head.get(h, h - (1 << 63))
 
     def tokens(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        words.append(END)
+        words = split(text)
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -152,13 +158,11 @@ def word_counts(rows: DataFrame) -> DataFrame:
         reader, seen = Reader(), Counter()
 
         def made() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+            return pa.record_batch([pa.array(list(map(reader.number, seen)), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                keys, n = np.unique(reader.tokens(text), return_counts=True)
-                for k, x in zip(keys.tolist(), n.tolist(), strict=True):
-                    seen[k] += x
+                seen.update(split(text))
                 if len(seen) > COUNTED:
                     yield made()
                     seen.clear()

@@ -177,3 +177,12 @@ def test_many_segments(spark):
     found = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
     assert all((found[k]["score"] >= 0.5) == bool(k % 2) for k in range(600))
     assert len(found[1]["passages"]) == 100
+
+
+def test_word_counts_are_summed_over_flushes(spark, monkeypatch):
+    """Whatever a task forgets on its way, the counts are those of plain code."""
+    monkeypatch.setattr(lm_scoring, "COUNTED", 5)
+    texts = [text(k, 30) for k in range(20)] + ["A a\ta", ""]
+    docs = spark.createDataFrame([(t, True) for t in texts], "text string, train boolean")
+    wanted = Counter(lm_scoring.Reader().number(w) for t in texts for w in [*t.encode().lower().split(), b"\n"])
+    assert {r["key"]: r["n"] for r in lm_scoring.word_counts(docs).collect()} == wanted
