@@ -2,8 +2,8 @@
 
 1. Each host gets `REFERENCES` reference pages, those with the smallest hashes of their ids.
 2. Every page is parsed into a tree of blocks and aligned with its host's reference pages by simple tree
-   matching (the heaviest order-preserving match of children, level by level; equal texts weigh double). Long child
-   lists are cut at the equal children that both have once; a rest that is still long is paired in order.
+   matching (the heaviest order-preserving match of children, level by level; equal texts weigh double), however long
+   the child lists are.
    What was matched and what was also equal is counted per reference node over all pages of the host; each
    task adds up its own pages first, so a host with a third of all pages is no hot spot.
 3. A text at its path of elements that was equal on at least `CONSTANT` of the distinct pages it was matched on, and on
@@ -23,12 +23,13 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from .storage import written
 
 REFERENCES, CONSTANT, PAGES = 2, 0.9, 8
 SENT_BYTES = 32 << 20
-#: Child lists whose product of lengths is above this are first cut at equal children that occur once in each.
-CELLS = 40_000
+#: Tables of more cells are made by numpy; their numbers are the same.
+VECTORS = 2_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>", re.S)
 PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -268,133 +269,231 @@ def digest(text: str, path: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(path + text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def one_text(x: Block) -> bool:
+    """Whether a block holds one text and nothing else."""
+    return len(x.kids) == 1 and x.kids[0].tag == "#"
+
+
 def single(x: Block, y: Block) -> bool:
-    """Whether both blocks hold one text and nothing else."""
-    return len(x.kids) == 1 == len(y.kids) and x.kids[0].tag == "#" == y.kids[0].tag
+    return one_text(x) and one_text(y)
 
 
-class Matching:
-    """Simple tree matching of a reference with a page."""
+class Shapes:
+    """Numbers of a tree's blocks that equal blocks share, and each one's weight with its equal, which no other exceeds."""
+
+    def __init__(self, root: Block):
+        self.found: dict[tuple, int] = {}
+        self.weight: list[int] = []
+        self.own = self.of(root, True)
+
+    def of(self, root: Block, new: bool = False) -> dict[int, int]:
+        """Numbers of a tree's blocks by id, of those that are equal to one of the first tree."""
+        order, todo = [], [root]
+        while todo:
+            now = todo.pop()
+            order.append(now)
+            todo.extend(now.kids)
+        numbers: dict[int, int] = {}
+        for now in reversed(order):
+            key = (now.tag, now.text, tuple([numbers.get(id(x)) for x in now.kids]))
+            h = self.found.get(key)
+            if h is None and new:
+                h = self.found[key] = len(self.weight)
+                self.weight.append(1 + (now.tag == "#") + sum(self.weight[k] for k in key[2]))
+            if h is not None:
+                numbers[id(now)] = h
+        return numbers
+
+
+class Columns:
+    """The child list of a block by tag and text."""
+
+    def __init__(self, kids: list[Block]):
+        self.every: defaultdict[str, list[int]] = defaultdict(list)
+        self.mixed: defaultdict[str, list[int]] = defaultdict(list)  # those that hold more than one text
+        self.texts: defaultdict[tuple[str, str], list[int]] = defaultdict(list)
+        self.size = len(kids)
+        self.plain: dict[str, np.ndarray] = {}
+        for j, n in enumerate(kids):
+            self.every[n.tag].append(j)
+            if n.tag != "#" and not one_text(n):
+                self.mixed[n.tag].append(j)
+            else:
+                self.texts[n.tag, n.text or n.kids[0].text].append(j)
+
+    def unequal(self, tag: str) -> np.ndarray:
+        """The weights of a text, or of an element with one, if the texts differ."""
+        if tag not in self.plain:
+            out = np.zeros(self.size, dtype=np.int32)
+            out[self.every.get(tag, [])] = 1 if tag == "#" else 2
+            out[self.mixed.get(tag, [])] = 0
+            self.plain[tag] = out
+        return self.plain[tag]
 
-    def __init__(self, a: Block, b: Block):
-        self.a, self.b = a, b
-        self.memo: dict[tuple[int, int], tuple[int, list[tuple[Block, Block]]]] = {}
-        self.prints: dict[int, int] = {}
-
-    def marked(self) -> None:
-        """A number for each block that equal ones share; only long child lists need it."""
-        for root in (self.a, self.b):
-            order, todo = [], [root]
-            while todo:
-                now = todo.pop()
-                order.append(now)
-                todo.extend(now.kids)
-            for now in reversed(order):
-                self.prints[id(now)] = hash((now.tag, now.text, tuple(self.prints[id(x)] for x in now.kids)))
-
-    def spans(self, x: list[Block], y: list[Block]) -> list[tuple[list[Block], list[Block], bool]]:
-        """Parts of two child lists to be aligned; True: in order, one with one."""
-        if len(x) * len(y) <= CELLS:
-            return [(x, y, False)]
-        if not self.prints:
-            self.marked()
-        own, other = ([self.prints[id(z)] for z in part] for part in (x, y))
-        once = lambda part: {h: k for h, k in ((h, k) for k, h in enumerate(part)) if counts[h] == 1}
-        counts = Counter(own)
-        places = once(own)
-        counts = Counter(other)
-        common = [(places[h], k) for h, k in once(other).items() if h in places]
-        # The longest run of anchors in the order of both lists.
-        tails: list[int] = []
-        last: list[tuple[int, int]] = []
-        back: dict[tuple[int, int], tuple[int, int] | None] = {}
-        for i, j in sorted(common, key=lambda z: z[1]):
-            at = bisect_left(tails, i)
-            back[i, j] = last[at - 1] if at else None
-            tails[at:at + 1], last[at:at + 1] = [i], [(i, j)]
-        chain, now = [], last[-1] if last else None
-        while now:
-            chain.append(now)
-            now = back[now]
-        out, i, j = [], 0, 0
-        for p, q in [*reversed(chain), (len(x), len(y))]:
-            if p > i and q > j:
-                out.append((x[i:p], y[j:q], (p - i) * (q - j) > CELLS))
-            if p < len(x):
-                out.append((x[p:p + 1], y[q:q + 1], True))
-            i, j = p + 1, q + 1
-        return out
 
-    def pairs(self, x: Block, y: Block) -> list[tuple[Block, Block]]:
-        """Children whose weights the alignment of x and y needs."""
-        return [(k, n) for s, t, ordered in self.spans(x.kids, y.kids) for k, n in (zip(s, t, strict=False) if ordered else product(s, t)) if k.tag == n.tag != "#" and not single(k, n)]
+class Matching:
+    """Simple tree matching of a reference with a page: the heaviest match, by the same rule whatever the lengths of lists.
+
+    A pair of elements has one pair of parents, so each is weighed once. Equal subtrees have the most weight that either can
+    have, which only node by node gives. What stays in memory are the weights of the pairs that texts alone don't tell,
+    four bytes each; the tables of an alignment are made again on the way down, a part at a time. Time grows with the
+    product of the lengths of child lists; those of more than `VECTORS` cells go row by row through numpy.
+    """
 
-    def known(self, x: Block, y: Block) -> int:
+    def __init__(self, a: Block, b: Block, shapes: Shapes | None = None):
+        self.a, self.b = a, b
+        self.shapes = shapes or Shapes(a)
+        self.own, self.other = self.shapes.own, self.shapes.of(b)
+        self.rows: dict[tuple[int, int], array] = {}
+        self.columns: dict[int, Columns] = {}
+        self.total: int | None = None
+
+    def equal(self, x: Block, y: Block) -> bool:
+        h = self.own.get(id(x))
+        return h is not None and h == self.other.get(id(y))
+
+    def known(self, x: Block, y: Block) -> int | None:
+        """The weight of two blocks, if it shows without an alignment of their children, or is that of the trees."""
         if x.tag != y.tag:
             return 0
         if x.tag == "#":
             return 1 + (x.text == y.text)
         if single(x, y):
             return 2 + (x.kids[0].text == y.kids[0].text)
-        return self.memo[id(x), id(y)][0]
-
-    def aligned(self, x: Block, y: Block) -> tuple[int, list[tuple[Block, Block]]]:
-        """Weight of x and y, whose tags are equal, and the children that are matched."""
-        total, found = 1, []
-        for s, t, ordered in self.spans(x.kids, y.kids):
-            if ordered:
-                some = [(k, n) for k, n in zip(s, t, strict=False) if k.tag == n.tag]
-                total += sum(self.known(k, n) for k, n in some)
-                found += some
-                continue
-            table = [[0] * (len(t) + 1)]
-            for k in s:
-                row, up = [0], table[-1]
-                last = 0
-                for j, n in enumerate(t):
-                    over, both = up[j + 1], up[j] + self.known(k, n) if k.tag == n.tag else 0
-                    last = over if over > last else last
-                    last = both if both > last else last
-                    row.append(last)
-                table.append(row)
-            total += table[-1][-1]
-            i, j = len(s), len(t)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
+        if self.equal(x, y):
+            return self.shapes.weight[self.own[id(x)]]
+        return self.total if x is self.a and y is self.b else None
+
+    def of(self, y: Block) -> Columns:
+        if id(y) not in self.columns:
+            self.columns[id(y)] = Columns(y.kids)
+        return self.columns[id(y)]
+
+    def needed(self, k: Block, y: Block, few: bool) -> list[int]:
+        """The places of those children of y whose weight with k isn't told by texts alone."""
+        if k.tag == "#":
+            return []
+        if few:
+            plain = one_text(k)
+            return [j for j, n in enumerate(y.kids) if n.tag == k.tag and not (plain and one_text(n))]
+        columns = self.of(y)
+        return (columns.mixed if one_text(k) else columns.every).get(k.tag, [])
+
+    def weights(self, k: Block, y: Block) -> list[int]:
+        """The weights of k with each child of y."""
+        out, tag, stored = [], k.tag, iter(self.rows.get((id(k), id(y)), ()))
+        own = k.text if tag == "#" else k.kids[0].text if one_text(k) else None
+        for n in y.kids:
+            if n.tag != tag:
+                out.append(0)
+            elif tag == "#":
+                out.append(1 + (n.text == own))
+            elif own is not None and one_text(n):
+                out.append(2 + (n.kids[0].text == own))
+            else:
+                out.append(next(stored))
+        return out
+
+    def vector(self, k: Block, y: Block) -> np.ndarray:
+        columns = self.of(y)
+        if k.tag == "#" or one_text(k):
+            out = columns.unequal(k.tag).copy()
+            out[columns.texts.get((k.tag, k.text or k.kids[0].text), [])] += 1
+        else:
+            out = np.zeros(columns.size, dtype=np.int32)
+        if (id(k), id(y)) in self.rows:
+            out[self.needed(k, y, False)] = self.rows[id(k), id(y)]
+        return out
+
+    def below(self, up: list[int] | np.ndarray, k: Block, y: Block) -> list[int] | np.ndarray:
+        """The row of the alignment's table after k, from the one before."""
+        if isinstance(up, list):
+            row, last = [0], 0
+            for j, w in enumerate(self.weights(k, y)):
+                over, both = up[j + 1], up[j] + w if w else 0
+                last = over if over > last else last
+                last = both if both > last else last
+                row.append(last)
+            return row
+        row = up.copy()
+        np.maximum(up[1:], up[:-1] + self.vector(k, y), out=row[1:])
+        return np.maximum.accumulate(row)
+
+    @staticmethod
+    def first(x: Block, y: Block) -> list[int] | np.ndarray:
+        n = len(y.kids) + 1
+        return [0] * n if len(x.kids) * len(y.kids) <= VECTORS else np.zeros(n, dtype=np.int32)
+
+    def weighed(self, x: Block, y: Block) -> Generator[tuple[Block, Block], int, int]:
+        """Asks for the weights of pairs of children; returns that of x and y."""
+        row = self.first(x, y)
+        few = isinstance(row, list)
+        for k in x.kids:
+            if places := self.needed(k, y, few):
+                found = array("i")
+                for j in places:
+                    n = y.kids[j]
+                    found.append(self.shapes.weight[self.own[id(k)]] if self.equal(k, n) else (yield k, n))
+                self.rows[id(k), id(y)] = found
+            row = self.below(row, k, y)
+        return 1 + int(row[-1])
+
+    def aligned(self, x: Block, y: Block) -> list[tuple[Block, Block]]:
+        """The children of x and y that are matched, from the last one on."""
+        s, t = x.kids, y.kids
+        row = self.first(x, y)
+        part = len(s) + 1 if isinstance(row, list) else isqrt(len(s)) + 1
+        starts = [row]
+        for i in range(1, len(s) // part * part + 1):
+            row = self.below(row, s[i - 1], y)
+            if i % part == 0:
+                starts.append(row)
+        found, i, j = [], len(s), len(t)
+        for b in reversed(range(len(starts))):
+            low, table = b * part, [starts[b]]
+            for k in s[low:i]:
+                table.append(self.below(table[-1], k, y))
+            while i > low and j:
+                row, up = table[i - low], table[i - low - 1]
+                if row[j] == up[j]:
                     i -= 1
-                elif table[i][j] == table[i][j - 1]:
+                elif row[j] == row[j - 1]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
                     found.append((s[i], t[j]))
-        return total, found
+            if not j:
+                break
+        return found
 
     def texts(self) -> list[tuple[int, bool]]:
         """The texts of the reference that were matched, by id, and whether they are equal."""
-        todo = [(self.a, self.b, False)] if self.a.tag == self.b.tag != "#" and not single(self.a, self.b) else []
-        while todo:
-            x, y, ready = todo.pop()
-            if (id(x), id(y)) in self.memo:
-                continue
-            if ready:
-                self.memo[id(x), id(y)] = self.aligned(x, y)
-                continue
-            todo.append((x, y, True))
-            todo.extend((k, n, False) for k, n in self.pairs(x, y) if (id(k), id(n)) not in self.memo)
-        out, walk = [], [(self.a, self.b)] if self.a.tag == self.b.tag else []
+        if self.a.tag != self.b.tag:
+            return []
+        if self.known(self.a, self.b) is None:
+            stack, value = [self.weighed(self.a, self.b)], None
+            while stack:
+                try:
+                    stack.append(self.weighed(*stack[-1].send(value)))
+                    value = None
+                except StopIteration as end:
+                    stack.pop()
+                    value = end.value
+            self.total = value
+        out, walk = [], [(self.a, self.b)]
         while walk:
             x, y = walk.pop()
             if x.tag == "#":
                 out.append((id(x), x.text == y.text))
-            elif single(x, y):
-                walk.append((x.kids[0], y.kids[0]))
+            elif single(x, y) or self.equal(x, y):
+                walk.extend(zip(x.kids, y.kids, strict=True))
             else:
-                walk.extend(self.memo[id(x), id(y)][1])
+                walk.extend(self.aligned(x, y))
         return out
 
 
-def matched(a: Block, b: Block) -> list[tuple[int, bool]]:
-    return Matching(a, b).texts()
+def matched(a: Block, b: Block, shapes: Shapes | None = None) -> list[tuple[int, bool]]:
+    return Matching(a, b, shapes).texts()
 
 
 def _by_host(pages: DataFrame, small: DataFrame, how: str, bytes_of: str) -> DataFrame:
@@ -415,19 +514,19 @@ def templates(pages: DataFrame) -> DataFrame:
     refs = written(refs.where(is_pick).groupBy("host").agg(F.sort_array(F.collect_set("html")).alias("refs")), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, list[tuple[Block, dict[int, int]]]] = {}
+        trees: dict[str, list[tuple[Block, Shapes, dict[int, int]]]] = {}
         counts: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
             for host, page, refs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if host not in trees:
                     if len(trees) > 1000:
                         trees.clear()
-                    trees[host] = [(t := parse(x), {id(z): digest(z.text, path) for z, path in placed_leaves(t)}) for x in refs]
+                    trees[host] = [(t := parse(x), Shapes(t), {id(z): digest(z.text, path) for z, path in placed_leaves(t)}) for x in refs]
                 tree = parse(page)
-                for (ref, texts), source in zip(trees[host], refs, strict=True):
+                for (ref, shapes, texts), source in zip(trees[host], refs, strict=True):
                     if source == page:
                         continue  # a copy of the reference says nothing about what varies
-                    for node, equal in matched(ref, tree):
+                    for node, equal in matched(ref, tree, shapes):
                         c = counts.setdefault((host, texts[node]), [0, 0])
                         c[0] += 1
                         c[1] += equal

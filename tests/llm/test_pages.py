@@ -123,6 +123,34 @@ def test_long_lists_are_matched():
         assert len(found) == n and sum(equal for _, equal in found) == (n + 2) // 3
 
 
+def test_long_lists_have_the_heaviest_match():
+    """Long lists without a child that is equal and alone in both, so the cuts at equal children that were made before lose weight."""
+    import random
+
+    r = random.Random(4)
+    for n, item in ((230, "<p>{}</p>"), (230, "{}<hr>"), (215, "<div>{}<ul><li>x</li></ul></div>")):
+        pages = ["".join(item.format(r.choice("abcdefgh")) if r.random() < 0.9 else "<h2>t</h2>" for _ in range(n)) for _ in range(2)]
+        a, b = (html_extract.parse(x) for x in pages)
+        found = html_extract.Matching(a, b)
+        texts = found.texts()
+        assert found.known(a, b) == plain_match(a, b)
+        assert len(texts) == len({k for k, _ in texts})
+
+
+def test_match_is_the_same_by_numpy_and_by_loops(monkeypatch):
+    import random
+
+    r = random.Random(6)
+    pages = ["".join(r.choice(["<p>a</p>", "<p>b</p>", "<div>a<p>c</p></div>", "<div><div>b</div><p>c</p></div>", "text<hr>"]) for _ in range(60)) for _ in range(2)]
+    found = []
+    for cells in (0, 10**9):
+        monkeypatch.setattr(html_extract, "VECTORS", cells)
+        a, b = (html_extract.parse(x) for x in pages)
+        place = {id(x): k for k, x in enumerate(html_extract.leaves(a))}
+        found.append([(place[k], equal) for k, equal in html_extract.matched(a, b)])
+    assert found[0] == found[1]
+
+
 def test_template_texts_stay_elsewhere(spark):
     """A sentence of the article that is the template's text at another place is kept."""
     html = lambda k: f"<body><div>Follow our news</div><article><p>text {k}</p>{'<p>Follow our news</p>' if k == 5 else ''}</article><section>Follow our news</section></body>".replace("<article>", "<div class=text>").replace("</article>", "</div>")
