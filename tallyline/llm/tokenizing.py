@@ -59,6 +59,22 @@ def cut(text: str) -> list[str]:
     return SAFE_CUT.split(text) if UNSAFE.search(text) else text.split(" ")
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def runs(kept: Callable[[list[int]], object], ids: np.ndarray, starts: np.ndarray) -> Iterator[object]:
+    """kept of the runs of ids that begin at these places."""
+    a, b = starts.tolist(), [*starts[1:].tolist(), len(ids)]
+    if kept is len:
+        return iter((np.append(starts[1:], len(ids)) - starts).tolist())
+    if kept is ids_bytes:
+        data = ids.tobytes()
+        return (data[4 * x : 4 * y] for x, y in zip(a, b, strict=True))
+    every = ids.tolist()
+    return (kept(every[x:y]) for x, y in zip(a, b, strict=True))
+
+
 class PieceEncoder:
     """Looks pieces up in what was encoded before.
 
@@ -77,25 +93,40 @@ class PieceEncoder:
         self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.starts[[i for x, i in vocabulary.items() if x.startswith(SPACE)]] = True
 
-    def _ids(self, parts: list[str], led: bool) -> Iterator[list[int]]:
-        """Ids of parts. Those with one space, before a non-space, are encoded as one text and told apart by the tokens that start with a space."""
-        if led:
-            ids = self.encoder.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids
-            cuts = np.flatnonzero(self.starts[ids]).tolist()
-            if len(cuts) == len(parts):
-                yield from (ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True))
-                return
-        yield from (x.ids for x in self.encoder.encode_batch_fast(parts, add_special_tokens=False))
+    def _kept(self, parts: list[str], led: bool) -> Iterator[object]:
+        """Values of parts. Those with one space, before a non-space, are encoded as one text and told apart by the tokens that start with a space."""
+        for at in range(0, len(parts), 2048):
+            some = parts[at : at + 2048]
+            if led:
+                ids = np.array(self.encoder.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+                cuts = np.flatnonzero(self.starts[ids])
+                if len(cuts) == len(some):
+                    yield from runs(self.kept, ids, cuts)
+                    continue
+            yield from (self.kept(x.ids) for x in self.encoder.encode_batch_fast(some, add_special_tokens=False))
+
+    def _words(self, words: list[str]) -> None:
+        """Learns pieces of ASCII letters, each of which is one pre-token after its space."""
+        self.inner.update(zip(words, self._kept([" " + x for x in words], True), strict=True))
+        self.chars += sum(map(len, words))
 
     def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
-        cuts = [(x, [lead + x] if OTHER.search(x) else PARTS.findall(lead + x)) for x in pieces.difference(known)]
-        new = set(chain.from_iterable(x for _, x in cuts)).difference(self.parts)
-        led = [x for x in new if x[:1] == " " and not x[1:2].isspace() and x.count(" ") == 1 and len(x) > 1]
-        for some in (led, list(new.difference(led))):
-            for at in range(0, len(some), 2048):
-                part = some[at : at + 2048]
-                self.parts.update(zip(part, map(self.kept, self._ids(part, some is led)), strict=True))
-        self.chars += sum(map(len, new)) + sum(len(x) for x, _ in cuts)
+        new = pieces.difference(known)
+        if lead:
+            words = [x for x in new if x.isalpha() and x.isascii()]
+            self._words(words)
+            new.difference_update(words)
+        cuts = [(x, [lead + x] if OTHER.search(x) else PARTS.findall(lead + x)) for x in new]
+        parts = set(chain.from_iterable(x for _, x in cuts)).difference(self.parts)
+        # Parts that are such a word after a space share its value.
+        words = [x for x in parts if x[:1] == " " and x[1:].isalpha() and x.isascii()]
+        self._words([x[1:] for x in words if x[1:] not in self.inner])
+        self.parts.update([(x, self.inner[x[1:]]) for x in words])
+        parts.difference_update(words)
+        led = [x for x in parts if x[:1] == " " and not x[1:2].isspace() and x.count(" ") == 1 and len(x) > 1]
+        for some in (led, list(parts.difference(led))):
+            self.parts.update(zip(some, self._kept(some, some is led), strict=True))
+        self.chars += sum(map(len, parts)) + sum(map(len, words)) + sum(len(x) for x, _ in cuts)
         look, joined = self.parts.__getitem__, self.joined
         known.update([(x, look(y[0]) if len(y) == 1 else joined(map(look, y))) for x, y in cuts])
 
@@ -111,11 +142,8 @@ class PieceEncoder:
         self._learn(self.heads, set(heads), "")
         found = list(map(self.inner.get, chain.from_iterable(cuts)))
         if None in found:
-            missing = [x is None for x in found]
-            new, pieces = list(compress(range(len(found)), missing)), list(compress(chain.from_iterable(cuts), missing))
-            self._learn(self.inner, set(pieces), " ")
-            for i, x in zip(new, map(self.inner.__getitem__, pieces), strict=True):
-                found[i] = x
+            self._learn(self.inner, set(compress(chain.from_iterable(cuts), [x is None for x in found])), " ")
+            found = list(map(self.inner.__getitem__, chain.from_iterable(cuts)))
         at = 0
         for head, rest in zip(heads, cuts, strict=True):
             some = found[at : at + len(rest)]
@@ -128,7 +156,3 @@ class PieceEncoder:
 def remembering(path: str, kept: Callable[[list[int]], object], joined: Callable[[Iterator], object]) -> PieceEncoder:
     """The process's encoder of this kind: what one task has learnt, the worker's next one knows."""
     return PieceEncoder(path, kept, joined)
-
-
-def ids_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)

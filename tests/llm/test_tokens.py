@@ -154,3 +154,21 @@ def test_memory_is_emptied(library, vocabulary, monkeypatch):
                 assert [b"".join(x) for x in found] == [tokenizing.ids_bytes(x) for x in wanted[at : at + 3]]
         assert encoder.chars <= 1000 + sum(len(x) for x in texts[-3:]) * 4 if name.endswith("CHARS") else len(encoder.inner) <= 1000 + 700
         monkeypatch.undo()
+
+
+def test_runs_are_those_of_each_part(vocabulary):
+    """Words, and the same words with signs: each is encoded once, and every kind of value is that of the part's ids."""
+    import numpy as np
+
+    library = tokenizing.tokenizer(vocabulary)
+    parts = [" word", " untokenizable", " a", " Zz", ' "quoted']
+    wanted = [x.ids for x in library.encode_batch(parts, add_special_tokens=False)]
+    ids = np.array([i for x in wanted for i in x], dtype="<u4")
+    starts = np.cumsum([0, *map(len, wanted[:-1])])
+    for kept in (len, tokenizing.ids_bytes, tuple):
+        assert list(tokenizing.runs(kept, ids, starts)) == [kept(x) for x in wanted]
+    encoder = tokenizing.PieceEncoder(vocabulary, tuple, lambda x: sum(x, ()))
+    text = "one two, two three. three's (four four) über 漢 a<|endoftext|> b1 1b"
+    for _ in range(2):
+        assert [sum(x, ()) for x in encoder.values([text, text + " five"])] == [tuple(library.encode(x, add_special_tokens=False).ids) for x in (text, text + " five")]
+    assert encoder.parts[" two"] is encoder.inner["two"]
