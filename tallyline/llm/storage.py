@@ -25,11 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df, computed once and read back from the shared folder."""
+def written(df: DataFrame, name: str, compression: str = "zstd", parts: str | None = None) -> DataFrame:
+    """df, computed once and read back from the shared folder; with parts, in folders by that column, its last one."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    (out.partitionBy(parts) if parts else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

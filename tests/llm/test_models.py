@@ -1,5 +1,6 @@
 """Operators 3, 4 and 5: exact parts against plain code, the rest on held-out rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -54,6 +55,42 @@ def test_language_model_learns(spark):
     assert held["s"] > held["b"]
 
 
+def by_hand(train, probes):
+    """Scores of texts where no pair is twice in the training texts, so each has one table."""
+    tokens = lambda t: [None, *t.split(), "\n"]
+    pairs = [p for t in train for p in itertools.pairwise(tokens(t))]
+    assert len(set(pairs)) == len(pairs)
+    customers, tables = Counter(u for u, _ in pairs), Counter(w for _, w in pairs)
+    d, d0 = 0.95, lm_scoring.discount_of(*(sum(n == k for n in tables.values()) for k in (1, 2)))
+    below = lm_scoring.ROOT_STRENGTH + len(pairs)
+    s = lm_scoring.STRENGTH
+
+    def p(u, w):
+        root = (tables[w] - d0) / below if w in tables else (lm_scoring.ROOT_STRENGTH + d0 * len(tables)) / below
+        return (((u, w) in set(pairs)) * (1 - d) + (s + d * customers[u]) * root) / (s + customers[u])
+
+    return [sum(math.log10(p(u, w)) for u, w in itertools.pairwise(tokens(t))) for t in probes]
+
+
+@pytest.mark.parametrize("chars", [40, 12_000_000])
+def test_every_word_is_a_context(spark, monkeypatch, chars):
+    """401 words in pairs that are met once, far more than 63 contexts, whatever the number of buckets."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_CHARS", chars)
+    train = [f"a{k} b{k} c{k} shared d{k}" for k in range(100)]
+    probes = ["b5 c5", "c5 b5", "new york", "", train[70], " ".join(reversed(train[70].split()))]
+    docs = spark.createDataFrame([*enumerate(train), *enumerate(probes, 1000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs, is_held=F.col("doc_id") >= 1000).collect()}
+    wanted = by_hand(train, [*train, *probes])
+    assert np.allclose([found[k] for k in sorted(found)], wanted, atol=1e-9)
+    assert found[1004] > found[1005] + 1
+
+
+def test_probabilities_sum_to_one_over_buckets(spark, monkeypatch):
+    """Pairs of the start met often, so tables are drawn, dealt into some 25 buckets."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_CHARS", 500)
+    test_probabilities_sum_to_one(spark, 60)
+
+
 def test_language_model_on_nothing(empty):
     assert lm_scoring.scored(empty).count() == 0
 
