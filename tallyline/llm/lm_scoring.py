@@ -213,7 +213,8 @@ def gathered(rows: DataFrame, hot: np.ndarray, only: np.ndarray | None, n_bucket
                 bucket = bucket[order]
                 first = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
                 ends = [*first[1:].tolist(), len(bucket)]
-                cols = [[x[order][i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)] for x in (u, w, doc.astype(np.uint16 if len(size) <= 1 << 16 else np.uint32), n.astype(np.int32))]
+                dealt = [x[order] for x in (u, w, doc.astype(np.uint16 if len(size) <= 1 << 16 else np.uint32), n.astype(np.int32))]
+                cols = [[x[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)] for x in dealt]
                 key = np.append(bucket[first] // 2, -1)
                 nothing = pa.nulls(len(first), pa.list_(batch.column(0).type))
                 own = pa.concat_arrays([nothing, pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), batch.column(0))])
