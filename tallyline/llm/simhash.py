@@ -231,7 +231,6 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     rows = written(_prepared(docs, width, id_col, text_col), "prepared")
     nodes = rows.groupBy("a", "b").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("parts").alias("parts"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = written(nodes.select(F.explode("keys").alias("key"), "node"), "keys")
     parts = nodes.select("node", "parts")
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -240,8 +239,7 @@ def near_copies(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_co
     def of_nodes(some: DataFrame) -> DataFrame:
         return _exploded(parts.join(some, "node", "left_semi"))
 
-    keyed = met(keys)
-    released(keys)
+    keyed = met(nodes.select(F.explode("keys").alias("key"), "node"))
     limit = F.lit(round((1 - least) * PART)).cast("long")
     found = grouped(keyed, nodes.select("node", F.lit(0).cast("long").alias("size")), compared, lambda _: limit, of_nodes, least)
     of = nodes.join(found, "node", "left").select("a", "b", "least", F.coalesce("component", "node").alias("root"))

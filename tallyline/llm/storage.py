@@ -36,12 +36,12 @@ def written(df: DataFrame, name: str, compression: str = "zstd", parts: str | No
     return out
 
 
-def released(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made and nothing will read again."""
+def released(*tables: DataFrame, below: str = "") -> None:
+    """Deletes tables that `written` made and nothing will read again, or only their folder `below`."""
     for df in tables:
         if path := getattr(df, "written_path", None):
             jvm = df.sparkSession.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
+            place = jvm.org.apache.hadoop.fs.Path(f"{path}/{below}" if below else path)
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
